@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+from . import bpe, exact_dedup, simhash, token_ids
+from .common import new_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +32,17 @@ FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id ASC NULLS LAST)
 """
 
 
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "op2-token-ids")
+    manifest = token_ids.write_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, folder=folder)
+    return token_ids.read_ids(manifest, folder).withColumnRenamed("id", "doc_id")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = bpe.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return got.select(F.col("id").alias("doc_id"), "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.groups(_table(spark, sf_dir, "documents"), words=4, bits=4)
     return got.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
