@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, simhash, token_ids
+from . import bpe, decontaminate, exact_dedup, pii, secret_scan, simhash, token_ids
 from .common import new_folder
+from .spans import base_count, listing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,24 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
 
 
+def _span_digests(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    return found.select(F.col("id").alias("doc_id"), *[base_count(k).alias(f"n_{k}") for k in kinds], F.sha2(listing(base=True), 256).alias("base_sha256"), listing().alias("spans"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digests(secret_scan.scan(_table(spark, sf_dir, "documents")), secret_scan.BASE)
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digests(pii.scan(_table(spark, sf_dir, "documents")), pii.KINDS)
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it holds."""
+    got = decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return got.withColumnRenamed("id", "doc_id")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.groups(_table(spark, sf_dir, "documents"), words=4, bits=4)
     return got.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
