@@ -57,7 +57,8 @@ def frequent(table: DataFrame) -> DataFrame:
     """At most HEAVY rows (digest, size, top): the verified winners of the frequent digests of ``table``."""
     keyed = table.withColumn("key", F.xxhash64("digest"))
     sketches = keyed.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("m")).agg(F.expr(f"approx_top_k_accumulate(key, {COUNTERS})").alias("s"))
-    items = sketches.agg(F.expr(f"approx_top_k_combine(s, {COUNTERS})").alias("s")).select(F.explode(F.expr(f"approx_top_k_estimate(s, {HEAVY})")).alias("i"))
+    # Grouped by a constant: a merge without a group would also run in partitions that have no sketch, and fail there.
+    items = sketches.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(s, {COUNTERS})").alias("s")).select(F.explode(F.expr(f"approx_top_k_estimate(s, {HEAVY})")).alias("i"))
     named = items.select(F.col("i.item").alias("key")).distinct()
     exact = keyed.join(F.broadcast(named), "key").groupBy("digest").agg(F.count("*").alias("size"), F.min(_rank()).alias("top"))
     rows = table.count()
