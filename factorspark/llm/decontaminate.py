@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import hash_words, letters, mix
+
 #: Walks (hash tables), and samples of each.
 REPEATS, SAMPLED = 32, 2
 #: Items that a task holds at a time.
@@ -40,26 +42,7 @@ CHUNK = 1 << 21
 SHORT = 10
 PAD = np.uint64(0)
 
-_rnd = np.random.default_rng(20_171)
-_LETTER = _rnd.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_IS_WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
-_LETTER[~_IS_WORD] = 0
-_BASE = 0x9E3779B97F4A7C15 | 5
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2^64, and of its inverse; kept by the worker."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        with np.errstate(over="ignore"):
-            _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)], dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
+_LETTERS = letters(np.array([chr(b).isalnum() if b < 128 else True for b in range(256)]))
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,14 +51,9 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     buf = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
     if not len(buf):
         return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
-    up, down = _powers(len(buf))
-    is_word = _IS_WORD[buf]
-    edge = np.flatnonzero(np.diff(np.r_[False, is_word, False].astype(np.int8)))
-    start, end = edge[::2], edge[1::2]
-    total = np.r_[np.uint64(0), np.cumsum(_LETTER[buf] * up, dtype=np.uint64)]
-    h = _mix((total[end] - total[start]) * down[start]) | np.uint64(1)  # never PAD
+    h, start, _ = hash_words(buf, _LETTERS)
     stop = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
-    return h, np.diff(np.r_[0, np.searchsorted(start, stop)])
+    return h | np.uint64(1), np.diff(np.r_[0, np.searchsorted(start, stop)])  # odd: never PAD
 
 
 def grams(h: np.ndarray, q: int) -> np.ndarray:
@@ -85,7 +63,7 @@ def grams(h: np.ndarray, q: int) -> np.ndarray:
     if len(h) < q:
         return np.empty(0, np.uint64)
     m = len(h) - q + 1
-    return _mix(sum(h[i : i + m] * np.uint64(2 * i + 0x51ED270B) for i in range(q)))
+    return mix(sum(h[i : i + m] * np.uint64(2 * i + 0x51ED270B) for i in range(q)))
 
 
 @dataclass
@@ -160,7 +138,7 @@ def embed(c: Class, h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nd
         word = np.where(at < stop[:, None], h[np.minimum(at, len(h) - 1)], PAD)
         if taken[j].any():
             r = np.flatnonzero(taken[j])
-            key[:, r] = _mix(key[:, r] * np.uint64(0xBF58476D1CE4E5B9) ^ word[:, r])
+            key[:, r] = mix(key[:, r] * np.uint64(0xBF58476D1CE4E5B9) ^ word[:, r])
         at += ((word ^ c.salt[j]) * np.uint64(0x94D049BB133111EB) >> np.uint64(63)).astype(np.int64)
     return key
 

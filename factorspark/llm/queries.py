@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, pii, secret_scan, simhash, token_ids
+from . import bpe, decontaminate, exact_dedup, langid, pii, quality, secret_scan, simhash, token_ids
 from .common import new_folder
+from .sampling import fold
 from .spans import base_count, listing
 
 
@@ -56,6 +57,19 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digests(pii.scan(_table(spark, sf_dir, "documents")), pii.KINDS)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    net = quality.learn(docs, _table(spark, sf_dir, "labels"))
+    got = quality.score(docs, net).withColumnRenamed("id", "doc_id")
+    return got.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    got = langid.predict(docs, langid.learn(docs)).withColumnRenamed("id", "doc_id")
+    return got.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and benchmark item that it holds."""
     got = decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
