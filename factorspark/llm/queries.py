@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, langid, pii, quality, secret_scan, simhash, token_ids
+from . import bpe, decontaminate, exact_dedup, html_extract, langid, pii, quality, secret_scan, simhash, token_ids
 from .common import new_folder
 from .sampling import fold
 from .spans import base_count, listing
@@ -57,6 +57,13 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digests(pii.scan(_table(spark, sf_dir, "documents")), pii.KINDS)
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    weight = html_extract.learn(pages)
+    got = html_extract.main_text(pages, weight=weight, keep=["url"])
+    return got.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     net = quality.learn(docs, _table(spark, sf_dir, "labels"))
