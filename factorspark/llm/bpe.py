@@ -34,17 +34,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .token_ids import pack, unpack
+from .words import hash_words, letters
 
-#: White space as the pre-tokenizer's pattern has it; str.split() also splits at \x1c-\x1f.
+#: White space as the pre-tokenizer's pattern has it.
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-ODD_SPACE = re.compile("[\x1c-\x1f]")
-
-
-def words(text: str | None) -> list[str]:
-    """The white-space separated words of a text, in order."""
-    if not text:
-        return []
-    return [w for w in SPACE.split(text) if w] if ODD_SPACE.search(text) else text.split()
+_LETTERS = letters(np.array([chr(b) not in "\t\n\v\f\r " for b in range(256)]))
 
 
 def pieces(model_path: str) -> list[tuple[int, str]]:
@@ -57,22 +51,41 @@ def _zip(raw: bytes) -> bytes:
     return zlib.compress(raw, 1)
 
 
-def _join(parts: list[str]) -> bytes:
-    """Words hold no white space, so a newline can stand between them."""
-    return _zip("\n".join(parts).encode())
-
-
-def _block(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(sorted distinct words, words of each text, positions of all words)."""
-    cut = [words(t) for t in texts]
-    listed = sorted(set(chain.from_iterable(cut)))
-    at = dict(zip(listed, range(len(listed)), strict=True))
-    counts = np.fromiter(map(len, cut), np.uint32, len(cut))
-    return listed, counts, np.fromiter(map(at.__getitem__, chain.from_iterable(cut)), np.uint32, int(counts.sum()))
-
-
-def _bucket(listed: list[str], buckets: int) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w.encode()) for w in listed), np.int64, len(listed)) % buckets
+class Block:
+    """The distinct words of a batch of texts, and every word's position among them.
+
+    Words are told apart by a 64-bit hash; bytes are compared with those of the hash's first word, and if two words
+    clash the block takes other hashes.
+    """
+
+    def __init__(self, texts: list[str | None]):
+        raw = [SPACE.sub(" ", t).encode() if t and not t.isascii() else (t or "").encode() for t in texts]
+        buf = np.frombuffer(b" ".join([*raw, b""]) or b" ", np.uint8)
+        stops = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
+        for seed in range(100):
+            h, start, end = hash_words(buf, _LETTERS if not seed else letters(_LETTERS != 0, seed))
+            self.keys, first, self.where = np.unique(h, return_index=True, return_inverse=True)
+            self._raw, self._span = buf, (start[first], end[first])
+            if self._told_apart(buf, start, end):
+                break
+        self.counts = np.diff(np.r_[0, np.searchsorted(start, stops)]).astype(np.uint32)
+
+    def _told_apart(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> bool:
+        """Whether every word has the bytes of its key's first word."""
+        long, (a, b) = end - start, self._span
+        if not np.array_equal(long, (b - a)[self.where]):
+            return False
+        for lo in range(0, len(long), 500_000):
+            n = long[lo : lo + 500_000]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            if not np.array_equal(buf[np.repeat(start[lo : lo + 500_000], n) + step], buf[np.repeat(a[self.where[lo : lo + 500_000]], n) + step]):
+                return False
+        return True
+
+    def words(self, which: np.ndarray) -> list[bytes]:
+        raw = self._raw.tobytes()
+        a, b = self._span
+        return [raw[i:j] for i, j in zip(a[which].tolist(), b[which].tolist(), strict=True)]
 
 
 def _number(batch: pa.RecordBatch, k: int) -> int:
@@ -86,10 +99,12 @@ def _lists(rows: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, batch in enumerate(batches):
             if batch.num_rows:
-                listed, _, _ = _block(batch.column(1).to_pylist())
-                own = _bucket(listed, buckets)
-                found = np.unique(own)
-                parts = [_join([listed[i] for i in np.flatnonzero(own == b).tolist()]) for b in found]
+                block = Block(batch.column(1).to_pylist())
+                own = (block.keys % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(own, kind="stable")
+                listed = block.words(order)
+                found, first = np.unique(own[order], return_index=True)
+                parts = [_zip(b"\n".join(sorted(listed[i:j]))) for i, j in zip(first.tolist(), [*first[1:].tolist(), len(listed)], strict=True)]
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(found, pa.int32()), "block": pa.array([_number(batch, k)] * len(found), pa.int64()), "words": pa.array(parts, pa.binary())})
 
     return rows.mapInArrow(run, "bucket int, block bigint, words binary")
@@ -100,12 +115,12 @@ def _coded(lists: DataFrame, model_path: str) -> DataFrame:
     shared = lists.sparkSession.sparkContext.broadcast(Path(model_path).read_text(encoding="utf-8"))  # as large as the vocabulary
 
     def run(table: pa.Table) -> pa.Table:
-        own = [zlib.decompress(w).decode().split("\n") for w in table.column("words").to_pylist()]
-        at: dict[str, int] = {}
+        own = [zlib.decompress(w).split(b"\n") for w in table.column("words").to_pylist()]
+        at: dict[bytes, int] = {}
         for listed in own:
             for w in listed:
                 at.setdefault(w, len(at))
-        long, ids = encode_words(list(at), shared.value)
+        long, ids = encode_words([w.decode() for w in at], shared.value)
         begin = np.cumsum(long) - long
         sizes, out = [], []
         for listed in own:
@@ -144,44 +159,48 @@ def _assemble(docs: DataFrame, model_path: str, id_col: str, text_col: str, dige
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, batch in enumerate(batches):
             if batch.num_rows:
-                listed, counts, where = _block(batch.column(1).to_pylist())
-                common = np.argsort(-np.bincount(where, minlength=len(listed)), kind="stable")  # frequent words get small numbers
-                rank = np.empty(len(listed), np.uint32)
-                rank[common] = np.arange(len(listed), dtype=np.uint32)
+                block = Block(batch.column(1).to_pylist())
+                n = len(block.keys)
+                # The words in the order of the lists: by bucket, then by bytes.
+                own = (block.keys % np.uint64(buckets)).astype(np.int32)
+                spelled = block.words(np.arange(n))
+                listed = np.array(sorted(range(n), key=lambda i: (own[i], spelled[i])), np.int64)
+                place = np.empty(n, np.uint32)
+                place[listed] = np.arange(n, dtype=np.uint32)
+                common = np.argsort(-np.bincount(block.where, minlength=n), kind="stable")  # frequent words get small numbers
+                rank = np.empty(n, np.uint32)
+                rank[common] = np.arange(n, dtype=np.uint32)
+                control, data = pack(rank[block.where])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([_number(batch, k)], pa.int64()),
-                        pa.array([len(listed)], pa.int32()),
+                        pa.array([n], pa.int32()),
                         pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0)),
-                        pa.array([_zip(counts.tobytes())], pa.binary()),
-                        pa.array([_zip(_bucket(listed, buckets).astype(np.uint32).tobytes())], pa.binary()),
-                        pa.array([_zip(common.astype(np.uint32).tobytes())], pa.binary()),
-                        pa.array(pack(rank[where])[:1], pa.binary()),
-                        pa.array(pack(rank[where])[1:], pa.binary()),
+                        pa.array([_zip(block.counts.tobytes())], pa.binary()),
+                        pa.array([_zip(place[common].tobytes())], pa.binary()),
+                        pa.array([control], pa.binary()),
+                        pa.array([data], pa.binary()),
                     ],
-                    names=["block", "n_words", "names", "counts", "buckets", "common", "control", "data"],
+                    names=["block", "n_words", "names", "counts", "common", "control", "data"],
                 )
 
-    left = rows.mapInArrow(positions, f"block bigint, n_words int, names array<{kind}>, counts binary, buckets binary, common binary, control binary, data binary")
+    left = rows.mapInArrow(positions, f"block bigint, n_words int, names array<{kind}>, counts binary, common binary, control binary, data binary")
     out_type = pa.string() if digests else pa.list_(pa.int32())
 
     def run(own: pa.Table, coded: pa.Table) -> pa.Table:
         parts = []
-        for row in own.select(["n_words", "counts", "buckets", "common", "control", "data"]).to_pylist():
+        for row in own.select(["n_words", "counts", "common", "control", "data"]).to_pylist():
             n = row["n_words"]
             counts = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
-            bucket, common = (np.frombuffer(zlib.decompress(row[c]), np.uint32) for c in ("buckets", "common"))
+            common = np.frombuffer(zlib.decompress(row["common"]), np.uint32)
             where = common[unpack(row["control"], row["data"], int(counts.sum()))] if n else np.empty(0, np.uint32)
             got = sorted(coded.select(["bucket", "n", "sizes", "ids"]).to_pylist(), key=lambda r: r["bucket"])
             if sum(r["n"] for r in got) != n:
                 raise RuntimeError("a block has words without ids: its input changed between reads")
-            order = np.argsort(bucket, kind="stable")  # the words as the lists have them: by bucket, then sorted
-            long = np.zeros(n, np.int64)
             sizes = [np.frombuffer(raw := zlib.decompress(r["sizes"]), np.uint16 if len(raw) == 2 * r["n"] else np.uint32) for r in got]
-            long[order] = np.concatenate([np.empty(0, np.int64), *sizes])
+            long = np.concatenate([np.empty(0, np.int64), *sizes])
             flat = np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(zlib.decompress(r["ids"]), np.uint32) for r in got)])
-            begin = np.empty(n, np.int64)
-            begin[order] = np.cumsum(long[order]) - long[order]
+            begin = np.cumsum(long) - long
             parts.append((counts, where, long, begin, flat))
         piece = pieces_of.value
         n_tokens, ids_out, text_out = [], [], []
