@@ -32,16 +32,17 @@ def prefix_invariance(engine: Engine, panel: DataFrame, expression: str, cutoff:
 
 
 def coverage_by_year(panel: DataFrame, fields: list[str], factor: str = "score", mask: str = "in_universe") -> DataFrame:
-    """Shares of universe cells with each field, all fields, and the factor: by year and over all years (null year)."""
+    """Shares of universe cells with each field, all fields, and the factor: by year and over all years (year 0)."""
     inside = panel.filter(F.col(mask)).withColumn("year", F.year("date"))
     every = F.lit(True)
     for f in fields:
         every = every & F.col(f).isNotNull()
     share = lambda c: F.avg(c.cast("double"))
-    return inside.rollup("year").agg(
+    out = inside.rollup("year").agg(
         F.count("*").alias("universe_cells"), *[share(F.col(f).isNotNull()).alias(f"{f}_coverage") for f in fields], share(every).alias("all_inputs_coverage"), share(F.col(factor).isNotNull()).alias("factor_coverage"),
         share(F.when(every, F.col(factor).isNotNull())).alias("factor_given_inputs"),
     )
+    return out.withColumn("year", F.coalesce("year", F.lit(0)))
 
 
 def breadth(panel: DataFrame, factor: str = "score", mask: str = "in_universe") -> DataFrame:
