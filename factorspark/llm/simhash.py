@@ -35,6 +35,8 @@ from .components import components
 
 #: Members above which a node is factored again before it is searched.
 NODE = 20_000
+#: Parts of a component's fingerprints on their way to its name.
+SALTS = 32
 #: Members of a leaf, and leaves of a group.
 LEAF, GROUP = 64, 32
 #: Nodes up to this size are compared member by member.
@@ -235,10 +237,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     table = cut(fingerprints(docs, id_col, text_col, words))
     fps = cut(table.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(fps.select("fp"), bits))
-    placed = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    # Only fingerprints that met another one, or that several documents share, differ from "own id": all go the same way.
-    by_fp = placed.select("fp", "root").join(named, "root").select("fp", "component_id")
+    # Only fingerprints that met another one need a component; the rest are alone with their own documents. A component's
+    # fingerprints are many rows of one key where a group is large, so they are salted on the way back.
+    met = fps.join(roots.withColumnRenamed("node", "fp"), "fp")
+    lowest = met.groupBy("root").agg(F.min("least").alias("low")).join(fps.select(F.col("fp").alias("root"), "least"), "root").select("root", F.least("low", "least").alias("component_id"))
+    salts = lowest.select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    named = met.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salts, ["root", "salt"]).select("fp", "component_id")
+    named = named.unionByName(lowest.select(F.col("root").alias("fp"), "component_id"))
+    by_fp = fps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return table.join(by_fp, "fp").select("id", "fp", "component_id")
 
 
