@@ -37,6 +37,8 @@ from .components import components
 NODE = 20_000
 #: Parts of a component's fingerprints on their way to its name.
 SALTS = 32
+#: Most fingerprints whose component is broadcast.
+SHARED = 1024
 #: Members of a leaf, and leaves of a group.
 LEAF, GROUP = 64, 32
 #: Nodes up to this size are compared member by member.
@@ -235,17 +237,22 @@ def links(fps: DataFrame, bits: int = 4) -> DataFrame:
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
     """(id, fp, component_id) for every row; component_id is the smallest id reachable over links."""
     table = cut(fingerprints(docs, id_col, text_col, words))
-    fps = cut(table.groupBy("fp").agg(F.min("id").alias("least")))
+    fps = cut(table.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     roots = components(links(fps.select("fp"), bits))
     # Only fingerprints that met another one need a component; the rest are alone with their own documents. A component's
     # fingerprints are many rows of one key where a group is large, so they are salted on the way back.
-    met = fps.join(roots.withColumnRenamed("node", "fp"), "fp")
+    met = fps.drop("n").join(roots.withColumnRenamed("node", "fp"), "fp")
     lowest = met.groupBy("root").agg(F.min("least").alias("low")).join(fps.select(F.col("fp").alias("root"), "least"), "root").select("root", F.least("low", "least").alias("component_id"))
     salts = lowest.select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     named = met.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salts, ["root", "salt"]).select("fp", "component_id")
     named = named.unionByName(lowest.select(F.col("root").alias("fp"), "component_id"))
-    by_fp = fps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return table.join(by_fp, "fp").select("id", "fp", "component_id")
+    by_fp = fps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n")
+    # Fingerprints of more than 1/SHARED of the documents, at most SHARED of them, find their documents where those are read.
+    total = fps.agg(F.sum("n")).first()[0] or 0
+    common = F.broadcast(by_fp.filter(F.col("n") * SHARED >= total).select("fp", "component_id"))
+    settled = table.join(common, "fp").select("id", "fp", "component_id")
+    rest = table.join(common, "fp", "left_anti").join(by_fp.filter(F.col("n") * SHARED < total), "fp").select("id", "fp", "component_id")
+    return settled.unionByName(rest)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
