@@ -12,7 +12,6 @@ import hashlib
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,12 +136,8 @@ class Plan:
 
         return panel.groupBy("code").applyInArrow(run, schema)
 
-    def results(self, panel: DataFrame, *keep: str) -> DataFrame:
+    def results(self, panel: DataFrame, *keep: str | Column) -> DataFrame:
         """(code, date, <factor id of each expression>), null outside the universe."""
         done = self.apply(panel)
         outputs = {e.factor_id: F.when(F.col(self.mask), self._column(e.root).cast("double")) for e in self.expressions}
         return done.select("code", "date", *keep, *[c.alias(k) for k, c in outputs.items()])
-
-
-def as_pandas(df: DataFrame) -> pd.DataFrame:
-    return df.toPandas()

@@ -56,19 +56,19 @@ def listing_age(obs: DataFrame, master: DataFrame, calendar: DataFrame, name: st
     A running count of open days over days and observations of an exchange replaces two searches in the calendar.
     """
     days = open_days(calendar)
-    own = master.select("code", "exchange", "list_date")
-    marks = obs.select("code", "date").distinct().join(own, "code").select("exchange", "date").union(own.select("exchange", F.date_sub("list_date", 1).alias("date"))).distinct()
+    own = master.select(F.col("code").alias("_code"), F.col("exchange").alias("_exchange"), F.col("list_date").alias("_listed"), F.date_sub("list_date", 1).alias("_before"))
+    placed = obs.join(own, F.col("code") == F.col("_code"), "left")
+    marks = placed.select(F.col("_exchange").alias("exchange"), "date").union(own.select("_exchange", "_before")).filter("exchange IS NOT NULL AND date IS NOT NULL").distinct()
     counted = (
         days.select("exchange", "date", F.lit(1).alias("open"))
         .unionByName(marks.select("exchange", "date", F.lit(0).alias("open")))
         .groupBy("exchange", "date")
         .agg(F.max("open").alias("open"))
-        .withColumn("upto", F.sum("open").over(Window.partitionBy("exchange").orderBy("date")))
-        .select("exchange", "date", "upto")
+        .withColumn("_upto", F.sum("open").over(Window.partitionBy("exchange").orderBy("date")))
     )
-    start = own.join(counted.withColumnRenamed("upto", "before"), (own["exchange"] == counted["exchange"]) & (F.date_sub(own["list_date"], 1) == counted["date"])).select("code", own["exchange"].alias("exchange"), "list_date", "before")
-    age = obs.join(start, "code", "left").join(counted, ["exchange", "date"], "left")
-    return age.withColumn(name, F.when(F.col("date") >= F.col("list_date"), F.col("upto") - F.col("before")).otherwise(F.when(F.col("list_date").isNotNull(), 0)).cast("bigint")).select(*obs.columns, name)
+    at = lambda k: counted.select(F.col("exchange").alias(f"_x{k}"), F.col("date").alias(f"_d{k}"), F.col("_upto").alias(f"_n{k}"))
+    both = placed.join(at(1), (F.col("_exchange") == F.col("_x1")) & (F.col("date") == F.col("_d1")), "left").join(at(0), (F.col("_exchange") == F.col("_x0")) & (F.col("_before") == F.col("_d0")), "left")
+    return both.select(*[obs[c] for c in obs.columns], F.greatest(F.coalesce(F.col("_n1") - F.col("_n0"), F.lit(0)), F.lit(0)).cast("bigint").alias(name))
 
 
 def next_open_day(snapshots: DataFrame, calendar: DataFrame) -> DataFrame:
