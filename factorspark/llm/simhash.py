@@ -21,7 +21,8 @@ only if every id in it is null); an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_batches, raw
 from .components import components
+from .words import mix
 
 #: Members above which a node is factored again before it is searched.
 NODE = 20_000
@@ -120,23 +122,28 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def _shared(x: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pattern and mask of the bits that every ``step`` neighbours share."""
+    """For every ``step`` neighbours, the bits that all have and the bits that any has: they share what is equal in both."""
     at = np.arange(0, len(x), step)
-    return np.bitwise_and.reduceat(x, at), np.bitwise_or.reduceat(x, at)
+    return np.bitwise_and.reduceat(x, at, axis=0), np.bitwise_or.reduceat(x, at, axis=0)
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints whose last axis is their words."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
 
 def _search(x: np.ndarray, label: np.ndarray, bits: int) -> None:
-    """Link the Gray-sorted members of one large node, top down."""
+    """Link the Gray-sorted members (rows of words) of one large node, top down."""
     n = len(x)
-    low, high = _shared(x, LEAF)  # all-ones bits, and bits that any has: shared where equal
-    glow, ghigh = np.bitwise_and.reduceat(low, np.arange(0, len(low), GROUP)), np.bitwise_or.reduceat(high, np.arange(0, len(high), GROUP))
+    low, high = _shared(x, LEAF)
+    glow, ghigh = _shared(low, GROUP)[0], _shared(high, GROUP)[1]
 
     def near(al: np.ndarray, ah: np.ndarray, bl: np.ndarray, bh: np.ndarray) -> np.ndarray:
         shared = ~(al ^ ah) & ~(bl ^ bh)
-        return np.bitwise_count((al ^ bl) & shared) <= bits
+        return np.bitwise_count((al ^ bl) & shared).sum(axis=-1, dtype=np.int32) <= bits
 
     for g in range(len(glow)):
-        for h in g + np.flatnonzero(near(glow[g], ghigh[g], glow[g:], ghigh[g:])):
+        for h in g + np.flatnonzero(near(glow[g][None], ghigh[g][None], glow[g:], ghigh[g:])):
             left, right = np.arange(g * GROUP, min((g + 1) * GROUP, len(low))), np.arange(h * GROUP, min((h + 1) * GROUP, len(low)))
             p, q = np.nonzero(near(low[left][:, None], high[left][:, None], low[right][None], high[right][None]))
             p, q = left[p], right[q]
@@ -146,7 +153,7 @@ def _search(x: np.ndarray, label: np.ndarray, bits: int) -> None:
                 la, lb = label[a], label[b]
                 if la[0] == lb[0] and (la == la[0]).all() and (lb == lb[0]).all():
                     continue  # all in one component already
-                r, s = np.nonzero(np.bitwise_count(x[a][:, None] ^ x[b][None]) <= bits)
+                r, s = np.nonzero(_apart(x[a][:, None], x[b][None]) <= bits)
                 _merge(label, r + a.start, s + b.start)
 
 
@@ -163,7 +170,7 @@ def link(node: np.ndarray, x: np.ndarray, bits: int) -> tuple[np.ndarray, np.nda
         at = at[room[at] > d]
         if not len(at):
             break
-        hit = at[np.bitwise_count(x[at] ^ x[at + d]) <= bits]
+        hit = at[_apart(x[at], x[at + d]) <= bits]
         a.append(hit)
         b.append(hit + d)
     if a:
@@ -182,36 +189,43 @@ def _nodes(fps: DataFrame, under: list[int]) -> DataFrame:
     return fps.select("fp", each).withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask")))
 
 
-def _edges(nodes: DataFrame, bits: int) -> DataFrame:
-    """Spanning forests of the links under each node."""
+def _edges(nodes: DataFrame, bits: int, order: Column) -> DataFrame:
+    """Spanning forests of the links under each node. ``nodes`` has mask, pattern, fp (a long, or bytes)."""
+    kind = nodes.schema["fp"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def flush(rows: np.ndarray) -> pa.RecordBatch:
-            node = np.cumsum(np.r_[0, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])])
-            x = np.ascontiguousarray(rows[:, 2]).view(np.uint64)
+        held: list[pa.RecordBatch] = []  # the rows of the node that is still open
+
+        def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(parts).combine_chunks()
+            mask, pattern = (rows.column(c).to_numpy() for c in ("mask", "pattern"))
+            node = np.cumsum(np.r_[0, (mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1])])
+            fp = rows.column("fp")
+            x = np.frombuffer(b"".join(fp.to_pylist()), "<u8").reshape(len(node), -1) if kind == "binary" else fp.to_numpy().view(np.uint64).reshape(-1, 1)
             u, v = link(node, x, bits)
-            return pa.RecordBatch.from_arrays([pa.array(rows[u, 2]), pa.array(rows[v, 2])], names=["u", "v"])
+            return pa.RecordBatch.from_arrays([fp.take(pa.array(u)).combine_chunks(), fp.take(pa.array(v)).combine_chunks()], names=["u", "v"])
+
+        def key(batch: pa.RecordBatch, row: int) -> tuple[int, int]:
+            return batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
 
         for batch in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1) if batch.num_rows else np.empty((0, 3), np.int64)
-            if not len(rows):
+            if not batch.num_rows:
                 continue
-            last = np.flatnonzero((rows[:, 0] != rows[-1, 0]) | (rows[:, 1] != rows[-1, 1]))
-            open_at = last[-1] + 1 if len(last) else 0
-            if held and (held[-1][-1, :2] != rows[0, :2]).any():
-                yield flush(np.concatenate(held))
+            mask, pattern = (batch.column(i).to_numpy() for i in (0, 1))
+            other = np.flatnonzero((mask != mask[-1]) | (pattern != pattern[-1]))
+            cut_at = int(other[-1]) + 1 if len(other) else 0
+            if held and key(held[-1], 0) != key(batch, 0):
+                yield flush(held)
                 held = []
-            if open_at:
-                yield flush(np.concatenate([*held, rows[:open_at]]))
+            if cut_at:
+                yield flush([*held, batch.slice(0, cut_at)])
                 held = []
-            held.append(rows[open_at:])
+            held.append(batch.slice(cut_at))
         if held:
-            yield flush(np.concatenate(held))
+            yield flush(held)
 
-    dealt = nodes.repartition("mask", "pattern").select("mask", "pattern", "fp", gray_rank(F.col("fp")).alias("g"))
-    return dealt.sortWithinPartitions("mask", "pattern", "g").select("mask", "pattern", "fp").mapInArrow(run, "u bigint, v bigint")
+    dealt = nodes.repartition("mask", "pattern").select("mask", "pattern", "fp", order.alias("g"))
+    return dealt.sortWithinPartitions("mask", "pattern", "g").select("mask", "pattern", "fp").mapInArrow(run, f"u {kind}, v {kind}")
 
 
 def links(fps: DataFrame, bits: int = 4) -> DataFrame:
@@ -223,9 +237,9 @@ def links(fps: DataFrame, bits: int = 4) -> DataFrame:
         hot = cut(nodes.groupBy("mask", "pattern").agg(F.count("*").alias("n")).filter(F.col("n") > NODE).select("mask", "pattern"))
         finer = {m: [m | s for s in masks(ALL & ~m, bits + 1, 1)] for m in under}
         if hot.isEmpty() or (ALL.bit_count() - max(m.bit_count() for m in under)) <= 2 * bits:
-            found = _edges(nodes, bits)
+            found = _edges(nodes, bits, gray_rank(F.col("fp")))
             return found if out is None else out.unionByName(found)
-        found = _edges(nodes.join(hot, ["mask", "pattern"], "left_anti"), bits)
+        found = _edges(nodes.join(hot, ["mask", "pattern"], "left_anti"), bits, gray_rank(F.col("fp")))
         out = found if out is None else out.unionByName(found)
         rest = nodes.join(hot, ["mask", "pattern"], "left_semi")
         table = F.create_map(*[x for m, s in finer.items() for x in (F.lit(signed(m)), F.array(*[F.lit(signed(y)) for y in s]))])
@@ -237,8 +251,15 @@ def links(fps: DataFrame, bits: int = 4) -> DataFrame:
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
     """(id, fp, component_id) for every row; component_id is the smallest id reachable over links."""
     table = cut(fingerprints(docs, id_col, text_col, words))
-    fps = cut(table.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
-    roots = components(links(fps.select("fp"), bits))
+    return _named(table, lambda fps: links(fps, bits))
+
+
+def _named(table: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, fp, component_id) from (id, fp, ...) and the links between distinct fingerprints."""
+    extra = [F.first(c).alias(c) for c in table.columns if c not in ("id", "fp")]
+    fps = cut(table.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"), *extra))
+    roots = components(linked(fps))
+    fps, table = fps.select("fp", "least", "n"), table.select("id", "fp")
     # Only fingerprints that met another one need a component; the rest are alone with their own documents. A component's
     # fingerprints are many rows of one key where a group is large, so they are salted on the way back.
     met = fps.drop("n").join(roots.withColumnRenamed("node", "fp"), "fp")
@@ -255,7 +276,87 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     return settled.unionByName(rest)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
-    """``docs`` without the rows whose group has a smaller id; rows without an id stay."""
-    gone = groups(docs, id_col, text_col, words, bits).filter("id <> component_id").select(F.col("id").alias(id_col)).distinct()
+# Near copies by similarity: wide fingerprints.
+
+#: Bits of a wide fingerprint; links are sought until a pair at the threshold is found with this probability.
+WIDE, RECALL = 256, 0.99
+
+
+def wide_fingerprint(text: str | None, words: int = 5) -> bytes:
+    """The 256-bit fingerprint of a text, little-endian words."""
+    w = raw(text or "").lower().split()
+    if not w:
+        return bytes(WIDE // 8)
+    line = b" ".join(w)
+    size = np.fromiter(map(len, w), np.int64, len(w))
+    end = np.cumsum(size + 1) - 1
+    if len(w) <= words:
+        got = [xxhash.xxh3_128_digest(line)]
+    else:
+        digest = xxhash.xxh3_128_digest
+        got = [digest(line[i:j]) for i, j in zip((end - size)[: 1 - words].tolist(), end[words - 1 :].tolist(), strict=True)]
+    half = np.frombuffer(b"".join(got), "<u8").reshape(-1, 2)
+    more = mix(half * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019))
+    count = np.zeros(WIDE, np.int64)
+    for a in range(0, len(half), 4096):
+        both = np.ascontiguousarray(np.concatenate([half[a : a + 4096], more[a : a + 4096]], axis=1)).view(np.uint8)
+        count += np.unpackbits(both, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(count * 2 > len(got), bitorder="little").tobytes()
+
+
+def bit_rate(similarity: float) -> float:
+    """Share of fingerprint bits in which two texts of this shingle (Jaccard) similarity differ, on average."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def wide_limit(similarity: float) -> int:
+    """Differing bits up to which texts count as similar: the average at the threshold and one standard deviation."""
+    p = bit_rate(similarity)
+    return int(WIDE * p + math.sqrt(WIDE * p * (1 - p)))
+
+
+def wide_plan(n: int, similarity: float, recall: float = RECALL) -> tuple[int, int]:
+    """(bits of a mask, masks): a mask has so many bits that unrelated fingerprints seldom meet, and there are so many
+    masks that a pair at the threshold agrees on one of them with probability ``recall``."""
+    size = max(16, math.ceil(math.log2(max(2, n) / 64)))
+    agree = (1 - bit_rate(similarity)) ** size
+    return size, math.ceil(math.log(1 - recall) / math.log(1 - agree))
+
+
+def wide_links(fps: DataFrame, similarity: float, recall: float = RECALL) -> DataFrame:
+    """Edges (u, v) between similar distinct fingerprints (fp bytes, w four longs), under sampled masks."""
+    size, many = wide_plan(fps.count(), similarity, recall)
+    rnd = np.random.default_rng(size)
+    under = []
+    for k in range(many):
+        mask = np.zeros(WIDE, np.uint8)
+        mask[rnd.choice(WIDE, size, replace=False)] = 1
+        words = np.packbits(mask, bitorder="little").view("<i8").tolist()
+        under.append(F.struct(F.lit(k).cast("bigint").alias("mask"), F.xxhash64(*[F.element_at("w", i + 1).bitwiseAND(F.lit(m)) for i, m in enumerate(words)]).alias("pattern")))
+    nodes = fps.select("fp", "w", F.explode(F.array(*under)).alias("n")).select("fp", "w", "n.*")
+    return _edges(nodes, wide_limit(similarity), gray_rank(F.element_at("w", 1)))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, fp, component_id): groups of texts that links of at least this shingle similarity connect.
+
+    A fingerprint of 64 bits is too coarse for a similarity of 0.8, at which about ten of its bits differ. Here it has 256,
+    and upper nodes are masks of sampled bits instead of all choices of blocks: a pair at the threshold is found with
+    probability RECALL, closer pairs almost surely. Similarity is judged by the differing bits, within about 0.03.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fp = [wide_fingerprint(t.as_py(), words) for t in batch.column(1)]
+        flat = pa.array(np.frombuffer(b"".join(fp), "<i8"))
+        w = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(fp) + 1, 4), pa.int32()), flat)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.binary()), w], names=["id", "fp", "w"])
+
+    table = cut(map_batches(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, f"id {kind}, fp binary, w array<bigint>"))
+    return _named(table, lambda fps: wide_links(fps, similarity))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without the rows whose group of similar texts has a smaller id; rows without an id stay."""
+    gone = similar_groups(docs, id_col, text_col, words, similarity).filter("id <> component_id").select(F.col("id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
