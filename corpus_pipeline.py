@@ -27,7 +27,7 @@ def one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that SimHash links connect: the smallest id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the smallest id."""
     return simhash.keep_one(docs)
 
 
