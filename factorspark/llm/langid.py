@@ -10,7 +10,8 @@ At inference the places of a filter are merged in tables over byte pairs, so tha
 
 Bounds: at most ``DOCUMENTS`` texts a language are fitted (the least hashes of their ids), ``WINDOWS`` windows of each;
 every window of every text is read to predict. Defined results: null text or text without a letter is ``und`` with score
-0; ties go to the language first in order; nothing to learn from is an error; repeated rows get equal results.
+0, and so is every text where there is nothing to learn from; ties go to the language first in order; repeated rows get equal
+results; rows without an id are predicted, and take no part in training.
 """
 
 from __future__ import annotations
@@ -144,7 +145,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     got = texts.mapInArrow(run, "l string, x binary").toPandas().sort_values(["l", "x"])
     if not len(got):
-        raise ValueError("there is no text with a language to learn from")
+        return Net([], [], np.empty(0), np.empty((0, 0)), np.empty(0))
     names = sorted(got["l"].unique())
     return train(np.stack([np.frombuffer(b, np.uint8) for b in got["x"]]), np.array([names.index(l) for l in got["l"]]), names)
 
@@ -162,9 +163,9 @@ def predict(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                cut = [windows(t) if has_letter(t) else (np.empty((0, WINDOW), np.uint8), np.empty(0, np.int64)) for t in texts]
+                cut = [windows(t) if net.names and has_letter(t) else (np.empty((0, WINDOW), np.uint8), np.empty(0, np.int64)) for t in texts]
                 n = np.array([len(x) for x, _ in cut])
-                z = net.logits(np.concatenate([x for x, _ in cut]), pairs)
+                z = net.logits(np.concatenate([x for x, _ in cut]), pairs) if n.any() else np.empty((0, len(net.names)))
                 letters = np.concatenate([w for _, w in cut])
                 lang, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
                 some = np.flatnonzero(n)

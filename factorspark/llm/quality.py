@@ -11,8 +11,9 @@ where a step whose second term has gone negative climbs it instead of descending
 not learnt from.
 
 Bounds: at most ``POSITIVES`` trusted positives and ``UNLABELLED`` texts are fitted (the least hashes of their ids); every
-text is scored. Defined results: null or empty text scores 0 (it has no content to vouch for); no positives to learn from is an error;
-repeated rows score alike; labels, language, source and id are no features.
+text is scored. Defined results: null or empty text scores 0 (it has no content to vouch for); with no positives or no
+unlabelled texts to learn from, every other text scores 0.5; repeated rows score alike; labels, language, source and id are
+no features; rows without an id are scored, and take no part in training.
 """
 
 from __future__ import annotations
@@ -139,7 +140,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     x = np.stack([np.frombuffer(f, np.float32) for f in got["f"]]) if len(got) else np.empty((0, N_FEATURES), np.float32)
     p = got["p"].to_numpy(bool)
     if not p.any() or p.all():
-        raise ValueError("the classifier needs trusted positives and unlabelled texts to learn from")
+        return Net(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros((N_FEATURES, 1)), np.zeros(1), np.zeros(1), 0.0)
     rnd = np.random.default_rng(SEED)
     positive, unlabelled = rnd.permutation(x[p]), rnd.permutation(x[~p])
     share = good / n

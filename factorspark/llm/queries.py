@@ -68,13 +68,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     net = quality.learn(docs, _table(spark, sf_dir, "labels"))
     got = quality.score(docs, net).withColumnRenamed("id", "doc_id")
-    return got.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+    return got.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     got = langid.predict(docs, langid.learn(docs)).withColumnRenamed("id", "doc_id")
-    return got.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
+    return got.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
