@@ -20,7 +20,18 @@ CORE_FIELDS = (
 )
 
 
-def field_catalog(version: str = "core_fields_v1", extra: tuple[FieldSpec, ...] = ()) -> Catalog:
+#: Sidecar fields by their source, with units.
+SIDECARS = {
+    "daily_basic": {"turnover_free": "ratio", "volume_ratio": "ratio", "pb": "ratio", "circ_mv": "currency_10k"},
+    "moneyflow": {n: "ratio" for n in ("small_flow_imbalance", "medium_flow_imbalance", "large_flow_imbalance", "extra_large_flow_imbalance", "total_flow_imbalance", "large_flow_share")},
+}
+
+
+def sidecar_fields() -> tuple[FieldSpec, ...]:
+    return tuple(FieldSpec(n, unit=u) for fields in SIDECARS.values() for n, u in fields.items())
+
+
+def field_catalog(version: str = "production_daily_fields_v1", extra: tuple[FieldSpec, ...] = ()) -> Catalog:
     return Catalog(version, (*CORE_FIELDS, *extra))
 
 

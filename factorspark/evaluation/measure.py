@@ -159,3 +159,22 @@ def horizon_diagnostics(rows: list[dict]) -> dict[str, int | None]:
 def coverage_by_date(book: DataFrame) -> DataFrame:
     g = book.groupBy("date").agg(F.count_if("eligible").alias("eligible_count"), F.count_if(F.col("eligible") & F.col("score").isNotNull()).alias("scored_count"))
     return g.withColumn("coverage", F.coalesce(F.col("scored_count") / F.when(F.col("eligible_count") > 0, F.col("eligible_count")), F.lit(0.0)))
+
+
+def extreme_share(trace_rows: DataFrame, value: str = "factor_return", n: int = 10) -> DataFrame:
+    """Share of the ``n`` largest absolute returns in the sum of all."""
+    x = trace_rows.filter(F.col(value).isNotNull()).select(F.abs(value).alias("x"))
+    top = x.orderBy(F.desc("x")).limit(n).agg(F.sum("x").alias("t"))
+    total = x.agg(F.sum("x").alias("s"))
+    return top.join(F.broadcast(total)).select((F.col("t") / F.when(F.col("s") > 0, F.col("s"))).alias("extreme_abs_return_top10_share"))
+
+
+def monotonicity(quintile_means: list[float | None]) -> float | None:
+    """Correlation of the quintile means with 1 to 5, over those that are known."""
+    known = [(i, m) for i, m in enumerate(quintile_means, 1) if m is not None]
+    if len(known) < 2:
+        return None
+    n = len(known)
+    mx, my = sum(i for i, _ in known) / n, sum(m for _, m in known) / n
+    sxx, syy = sum((i - mx) ** 2 for i, _ in known), sum((m - my) ** 2 for _, m in known)
+    return sum((i - mx) * (m - my) for i, m in known) / (sxx * syy) ** 0.5 if syy > 0 else None

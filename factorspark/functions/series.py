@@ -34,6 +34,7 @@ def periodic_metrics(df: DataFrame, keys: list[str], value: str = "ret", periods
     g = _curve(rows, own, value, r).groupBy(*own).agg(
         F.count("*").alias("period_count"), F.max_by("_nav", "_nth").alias("_end"), F.avg("_r").alias("_mean"), F.stddev_pop("_r").alias("_sd"), F.stddev_pop(low).alias("_down"),
         F.max((F.col("_peak") - F.col("_nav")) / F.col("_peak")).alias("max_drawdown"), F.avg((F.col("_r") > 0).cast("double")).alias("positive_period_rate"),
+        F.max(F.col(value) <= -1).alias("bankrupt"),
     )
     sd = F.when(F.col("_sd") >= EPSILON, F.col("_sd")).otherwise(0.0)
     root = F.lit(periods**0.5)
@@ -42,7 +43,7 @@ def periodic_metrics(df: DataFrame, keys: list[str], value: str = "ret", periods
         *keys, "period_count", "total_return", "annual_return", (F.col("_sd") * root).alias("annual_volatility"), "max_drawdown",
         F.when(F.col("_sd") > 0, F.col("_mean") / F.when(F.col("_sd") > 0, F.col("_sd")) * root).otherwise(0.0).alias("sharpe"),
         F.when(F.col("_down") > 0, F.col("_mean") / F.when(F.col("_down") > 0, F.col("_down")) * root).otherwise(0.0).alias("sortino"),
-        F.when(F.col("max_drawdown") > 0, F.col("annual_return") / F.when(F.col("max_drawdown") > 0, F.col("max_drawdown"))).otherwise(0.0).alias("calmar"), "positive_period_rate",
+        F.when(F.col("max_drawdown") > 0, F.col("annual_return") / F.when(F.col("max_drawdown") > 0, F.col("max_drawdown"))).otherwise(0.0).alias("calmar"), "positive_period_rate", *(["bankrupt"] if clamp else []),
     )
 
 

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .artifacts import identity
-from .engine import CORE_FIELDS, Engine
+from .engine import CORE_FIELDS, SIDECARS, Engine, sidecar_fields
 from .errors import DataError
 from .evaluation.screen import Fold, Gate, Policy
 from .operators.catalogs import FOR_JOBS, PRODUCTION, catalog
 from .plans.model import Catalog
-from .prep.intervals import members_at, next_open_day
+from .prep.intervals import members_at
 from .prep.panel import clean, densify
 from .prep.suspension import carry, forward_fill
 from .prep.views import research_frame, tradable
@@ -74,8 +74,11 @@ def load_job(path: str | Path) -> Job:
     view = raw["universe"]["view"]
     if view not in VIEWS:
         raise DataError(f"unknown universe view {view}")
-    if view in INDEXES and "index_weights" not in data:
-        raise DataError(f"the view {view} needs data.index_weights")
+    if view in INDEXES and "index_membership" not in data:
+        raise DataError(f"the view {view} needs data.index_membership")
+    code = raw["universe"].get("index_code")
+    if code is not None and code != INDEXES.get(view):
+        raise DataError(f"the view {view} is not of the index {code}")
     ev, research = raw["evaluation"], raw["research"]
     start, end = _window((ev["start"], ev["end"]), "the evaluation")
     s = research["screen"]
@@ -119,7 +122,11 @@ class Prepared:
         at = self.days.index(inside[0])
         self.load_start = self.days[max(0, at - job.max_lookback)]
         extra = tuple(s for m, fields in job.plugins for s in m.specs() if s.name in fields)
-        self.fields = Catalog(f"production_fields_{job.dataset_version}", (*CORE_FIELDS, *extra))
+        self.sidecars = "dense_sidecars_dir" in job.data
+        extra = (*extra, *(sidecar_fields() if self.sidecars else ()))
+        version = f"production_daily_fields_{job.dataset_version}_{job.view}"
+        suffix = f"_plugins_{identity([(s.name, s.unit, s.available_at) for s in extra])[:16]}" if extra else ""
+        self.fields = Catalog(version + suffix, (*CORE_FIELDS, *extra))
         self.engine = Engine(catalog(job.operators), self.fields)
 
     def identity(self) -> dict:
@@ -130,11 +137,20 @@ class Prepared:
         return {"job_id": self.job.job_id, "asset_identities": assets, "plugins": plugins, "job_identity": identity([design, assets, plugins])}
 
     def symbols(self) -> list[str] | None:
-        """The first ``symbol_cap`` codes of the master where the job has such a cap; the cap is part of the job."""
+        """The job's codes where it has a cap (the cap is part of the job): of the index's latest snapshot, or of the master."""
         if self.job.symbol_cap is None:
             return None
-        rows = source.master(self.spark, self.job.file("stock_master")).select("code").orderBy("code").limit(self.job.symbol_cap)
-        return [r["code"] for r in rows.collect()]
+        codes = source.master(self.spark, self.job.file("stock_master")).select("code")
+        if self.job.view in INDEXES:
+            members = self._members().filter(F.col("effective_date") <= F.lit(self.job.end).cast("date"))
+            latest = members.agg(F.max("effective_date")).first()[0]
+            if latest is None:
+                raise DataError("the index has no snapshot in force")
+            codes = codes.join(members.filter(F.col("effective_date") == F.lit(latest)).select(F.col("con_code").alias("code")).distinct(), "code", "left_semi")
+        return [r["code"] for r in codes.orderBy("code").limit(self.job.symbol_cap).collect()]
+
+    def _members(self) -> DataFrame:
+        return source.index_membership(self.spark, self.job.file("index_membership"), [INDEXES[self.job.view]])
 
     def panel(self, end: str | None = None) -> DataFrame:
         """Dense panel from the lookback before the window on: factor inputs with suspensions carried, universe, execution."""
@@ -145,14 +161,16 @@ class Prepared:
             source.special_treatment(spark, job.file("st_intervals")), source.calendar(spark, job.file("trade_calendar")),
         )
         if job.view in INDEXES:
-            weights = source.index_weights(spark, job.file("index_weights"), [INDEXES[job.view]])
-            effective = next_open_day(weights, source.calendar(spark, job.file("trade_calendar")).filter("exchange = 'SSE'"))
-            frame = members_at(frame, effective, "_member").withColumn(job.view, F.col("_member") & F.col("signal_eligible"))
+            frame = members_at(frame, self._members(), "_member").withColumn(job.view, F.col("_member") & F.col("signal_eligible"))
         extra = []
         if job.plugins:
             merged = merge_sources([scan(spark, m, list(f), self.load_start, end) for m, f in job.plugins])
             frame = frame.join(merged, ["code", "date"], "left")
             extra = [f for _, fields in job.plugins for f in fields]
+        if self.sidecars:
+            for name, fields in SIDECARS.items():
+                frame = frame.join(source.sidecar(spark, job.file("dense_sidecars_dir"), name, list(fields), self.load_start, end), ["code", "date"], "left")
+                extra += list(fields)
         core = {"open": "hfq_open", "high": "hfq_high", "low": "hfq_low", "close": "hfq_close", "volume": "volume_shares", "amount": "amount_cny"}
         cells = frame.select(
             "code", "date", *[clean(F.col(c)).alias(n) for n, c in core.items()], *[clean(F.col(c)).alias(c) for c in extra], F.col("is_suspended").alias("suspended"), F.col(job.view).alias("_view"), "signal_eligible",

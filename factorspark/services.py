@@ -116,13 +116,14 @@ def measure_factor(spark: SparkSession, job: str | Path, expression: str, direct
         dated = trace.withColumnRenamed("signal_date", "date")
         curve = [r.asDict() for r in measure.horizon_curve(book, direction, list(horizons)).orderBy("horizon").collect()]  # a row a horizon
         ic = dated.filter("rank_ic IS NOT NULL")
+        quintiles = list(dated.agg(*[F.avg(f"q{i}_return") for i in range(1, 6)]).first())
         body = {
             "schema_version": "factor-daily-measurement.v1", "factor_id": compiled.factor_id, "canonical": compiled.canonical, "direction": direction, "return_clock": RETURN_CLOCK, "trading_days_per_year": series.MEASURED_DAYS,
             **{name: _summary(dated, column) for name, column in (("factor_return", "factor_return"), ("fixed_top20", "top20_return"), ("fixed_bottom20", "bottom20_return"), ("fixed_top_bottom", "top_bottom_return"), ("intraday", "intraday_return"), ("overnight", "overnight_return"))},
             "rank_ic": ic.agg(F.count("*").alias("observations"), F.avg("rank_ic").alias("mean"), F.stddev_samp("rank_ic").alias("standard_deviation"), F.avg((F.col("rank_ic") > 0).cast("double")).alias("positive_ratio")).first().asDict() | series.newey_west(ic, [], "rank_ic").first().asDict(),
             "target_weight_turnover": series.distribution(dated, [], "target_weight_turnover").first().asDict(), "top20_membership_turnover": series.distribution(dated, [], "top20_membership_turnover").first().asDict(),
             "coverage": dated.agg(F.avg("coverage").alias("mean"), F.min("coverage").alias("minimum"), F.count("*").alias("calendar_days"), F.count("factor_return").alias("finite_calendar_return_days"), F.count_if(F.col("gross_exposure") > 0).alias("active_book_days")).first().asDict(),
-            "quintile_mean_daily_returns": list(dated.agg(*[F.avg(f"q{i}_return") for i in range(1, 6)]).first()), "horizon_curve": curve, "horizon_diagnostics": measure.horizon_diagnostics(curve),
+            "quintile_mean_daily_returns": quintiles, "quintile_monotonicity": measure.monotonicity(quintiles), **measure.extreme_share(dated).first().asDict(), "active_day_factor_return": _summary(dated.filter("gross_exposure > 0"), "factor_return"), "horizon_curve": curve, "horizon_diagnostics": measure.horizon_diagnostics(curve),
             "rolling": {str(w): series.rolling_summary(dated, [], "factor_return", w).agg(F.count("rolling_sharpe").alias("observations"), F.min("rolling_sharpe").alias("minimum"), F.percentile("rolling_sharpe", F.lit(0.5)).alias("median"), F.max("rolling_sharpe").alias("maximum")).first().asDict() for w in windows},
             "yearly": [r.asDict() for r in series.return_summary(dated.withColumn("year", F.year("date")), ["year"], "factor_return").orderBy("year").collect()],
         }

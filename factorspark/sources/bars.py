@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import DataError
+from ..prep.intervals import next_open_day
 from ..prep.panel import parse_date
+from ..prep.views import duplicates, require_empty
 
 BARS = ("open", "high", "low", "close", "vol", "amount", "adj_factor")
 STATES = ("is_suspended", "up_limit", "down_limit")
@@ -50,6 +52,11 @@ def states(spark: SparkSession, root: str, start: str, end: str, codes: list[str
     return read_years(spark, root, STATES, start, end, codes)
 
 
+def sidecar(spark: SparkSession, root: str, source: str, fields: list[str], start: str, end: str) -> DataFrame:
+    """Normalised sidecar columns of ``root``/``source``/year=YYYY."""
+    return read_years(spark, f"{root}/{source}", tuple(fields), start, end)
+
+
 def master(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("ts_code").alias("code"), "exchange", "market", parse_date(F.col("list_date")).alias("list_date"), parse_date(F.col("delist_date")).alias("delist_date"))
 
@@ -63,12 +70,19 @@ def calendar(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True).select("exchange", parse_date(F.col("cal_date")).alias("cal_date"), "is_open")
 
 
-def index_weights(spark: SparkSession, path: str, indexes: list[str] | None = None) -> DataFrame:
-    """(index_code, snapshot_date, con_code, weight), dates normalised, indexes filtered in the files."""
+def index_membership(spark: SparkSession, path: str, indexes: list[str] | None = None) -> DataFrame:
+    """(index_code, effective_date, con_code), dates normalised, indexes filtered in the files."""
     df = spark.read.parquet(path)
     if indexes is not None:
         df = df.filter(F.col("index_code").isin(indexes))
-    return df.select("index_code", parse_date(F.col("snapshot_date")).alias("snapshot_date"), "con_code", F.col("weight").cast("double").alias("weight"))
+    return df.select("index_code", parse_date(F.col("effective_date")).alias("effective_date"), "con_code")
+
+
+def normalised_weights(raw: DataFrame, days: DataFrame, source_name: str) -> DataFrame:
+    """Raw index weights (index_code, con_code, trade_date, weight) as membership snapshots in force from the next open day."""
+    rows = raw.select("index_code", parse_date(F.col("trade_date")).alias("snapshot_date"), "con_code", F.col("weight").cast("double").alias("weight"))
+    require_empty(duplicates(rows, "index_code", "snapshot_date", "con_code"), "index weights repeat a member")
+    return next_open_day(rows, days).withColumn("source", F.lit(source_name)).select("index_code", "snapshot_date", "effective_date", "con_code", "weight", "source")
 
 
 def readiness(spark: SparkSession, root: str, start: str, end: str) -> dict:

@@ -10,10 +10,10 @@ import pytest
 import yaml
 
 from factorspark import cli, services
-from factorspark.engine import Engine, field_catalog
+from factorspark.engine import SIDECARS, Engine, field_catalog
 from factorspark.errors import DataError
 from factorspark.job import Prepared, load_job
-from factorspark.sources import bars, plugins
+from factorspark.sources import bars, datasets, plugins
 
 SYMBOLS = [f"00000{i}.SZ" for i in range(1, 5)] + [f"60000{i}.SH" for i in range(1, 5)]
 
@@ -162,7 +162,13 @@ def test_plugins(spark, tmp_path):
     assert again == m and [s.name for s in m.specs()] == ["x"]
     assert plugins.validate(spark, m)["status"] == "PASS"
     assert plugins.scan(spark, m, ["x"], "2021-01-04", "2021-01-04", ["a"]).count() == 1
+    first, again = (datasets.validate_once(spark, m, tmp_path / "receipts") for _ in range(2))
+    assert not first["reused"] and again["reused"] and datasets.export(spark, m, tmp_path / "out.yaml")["status"] == "PASS" and plugins.load_manifest(tmp_path / "out.yaml").rows == 2
+    d = datasets.DatasetManifest("d", "1", "s", "c", datasets.Status.QUARANTINE, 2, "2021-01-04T08:00:00+08:00", issues=("late",))
+    datasets.write_manifest(tmp_path / "d.json", d)
+    assert datasets.read_manifest(tmp_path / "d.json") == d and d.ingested_at == "2021-01-04T00:00:00+00:00"
     pd.concat([rows, rows]).to_parquet(tmp_path / "x.parquet", coerce_timestamps="us")
+    assert not datasets.validate_once(spark, m, tmp_path / "receipts")["reused"]
     assert set(plugins.validate(spark, m)["reasons"]) == {"keys repeat", "4 rows, declared 2", "content differs from the declared hash"}
     with pytest.raises(DataError):
         plugins.merge_sources([plugins.scan(spark, m, ["x"]), plugins.scan(spark, m, ["x"])])
@@ -186,3 +192,32 @@ def test_stream_equals_batch(spark, tmp_path):
     c = e.compile("cs_rank(ts_mean(close,3))")
     want = e.plan(c).results(panel(df, ["close"])).filter(F.col("date") >= "2021-01-09").collect()
     assert sorted(got) == sorted(map(tuple, want))
+
+
+def test_index_views_and_sidecars(spark, demo, tmp_path):
+    import shutil
+
+    shutil.copytree(demo, tmp_path / "d")
+    root = tmp_path / "d"
+    members = [("000300.SH", d, c) for d, codes in (("20200601", SYMBOLS[:3]), ("20210301", SYMBOLS[1:4])) for c in codes]
+    pd.DataFrame(members, columns=["index_code", "effective_date", "con_code"]).to_parquet(root / "members.parquet")
+    for name, fields in SIDECARS.items():
+        for year in (2020, 2021):
+            folder = root / "side" / name / f"year={year}"
+            folder.mkdir(parents=True)
+            pd.DataFrame({"ts_code": SYMBOLS, "trade_date": pd.Timestamp(f"{year}-03-01"), **{f: 0.5 for f in fields}}).to_parquet(folder / "part.parquet", coerce_timestamps="us")
+    raw = yaml.safe_load((root / "job.yaml").read_text())
+    raw["universe"] = {"view": "csi300", "index_code": "000300.SH"}
+    raw["data"] |= {"index_membership": "members.parquet", "dense_sidecars_dir": "side"}
+    raw["evaluation"].pop("symbol_cap")
+    (root / "job.yaml").write_text(yaml.safe_dump(raw))
+    p = Prepared(spark, load_job(root / "job.yaml"))
+    panel = p.panel().cache()
+    inside = {(str(r["date"]), r["code"]) for r in panel.filter("in_universe").select("date", "code").collect()}
+    assert ("2021-02-26", SYMBOLS[0]) in inside and ("2021-03-01", SYMBOLS[0]) not in inside and ("2021-03-01", SYMBOLS[3]) in inside and ("2021-02-26", SYMBOLS[3]) not in inside
+    assert panel.filter("pb IS NOT NULL").count() == len(SYMBOLS)
+    assert p.engine.compile("cs_rank(pb)").fields == ("pb",)
+    raw["evaluation"]["symbol_cap"] = 2
+    (root / "job.yaml").write_text(yaml.safe_dump(raw))
+    assert Prepared(spark, load_job(root / "job.yaml")).symbols() == SYMBOLS[1:3]
+    panel.unpersist()
