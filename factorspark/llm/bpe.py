@@ -1,7 +1,7 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are cut into words at white space (the pre-tokenizer never matches across it). Documents are taken in blocks of one
-Arrow batch. A block lists its distinct words once, sorted, and keeps each document as positions in that list. The lists are
+Texts are cut into words at white space (the pre-tokenizer never matches across it). Documents are taken in blocks of up to
+``BLOCK_BYTES`` of text. A block lists its distinct words once, sorted, and keeps each document as positions in that list. The lists are
 dealt by a hash of the word: all blocks' mentions of a word meet in one bucket of the distinct-word table, where it is
 encoded once. The ids go back to the blocks in the order of their lists, and a document's are read off by position; each
 id is joined to its piece of the vocabulary (a table of fixed size) to decode.
@@ -24,15 +24,18 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from . import common  # noqa: F401  workers give memory back
 from .token_ids import pack, unpack
 from .words import hash_words, letters
 
@@ -88,24 +91,38 @@ class Block:
         return [raw[i:j] for i, j in zip(a[which].tolist(), b[which].tolist(), strict=True)]
 
 
-def _number(batch: pa.RecordBatch, k: int) -> int:
-    """A block's number: its partition, and its place there."""
-    return (batch.column(2)[0].as_py() << 32) + k
+#: Text of a block, in bytes; a longer text is a block of its own.
+BLOCK_BYTES = 12 << 20
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(number, rows) of the blocks of a partition: the number is the partition's and the block's place there."""
+    k = 0
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < batch.num_rows:
+            before = size[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(size, before + BLOCK_BYTES, "right")))
+            yield (batch.column(2)[0].as_py() << 32) + k, batch.slice(first, last - first)
+            first, k = last, k + 1
 
 
 def _lists(rows: DataFrame, buckets: int) -> DataFrame:
     """(bucket, block, words): each block's sorted distinct words of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(batches):
+        for number, batch in _cut(batches):
             if batch.num_rows:
                 block = Block(batch.column(1).to_pylist())
+                if not len(block.keys):
+                    continue  # no words: the block asks for nothing
                 own = (block.keys % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(own, kind="stable")
                 listed = block.words(order)
                 found, first = np.unique(own[order], return_index=True)
                 parts = [_zip(b"\n".join(sorted(listed[i:j]))) for i, j in zip(first.tolist(), [*first[1:].tolist(), len(listed)], strict=True)]
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(found, pa.int32()), "block": pa.array([_number(batch, k)] * len(found), pa.int64()), "words": pa.array(parts, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(found, pa.int32()), "block": pa.array([number] * len(found), pa.int64()), "words": pa.array(parts, pa.binary())})
 
     return rows.mapInArrow(run, "bucket int, block bigint, words binary")
 
@@ -134,12 +151,19 @@ def _coded(lists: DataFrame, model_path: str) -> DataFrame:
     return lists.groupBy("bucket").applyInArrow(run, "block bigint, bucket int, n int, sizes binary, ids binary")
 
 
-def encode_words(listed: list[str], model: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of each word, all ids): every word through the library once."""
+@lru_cache(2)
+def _tokenizer(model: str) -> Tokenizer:
+    """Kept by the worker from bucket to bucket."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
     tokenizer = Tokenizer.from_str(model)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    return tokenizer
+
+
+def encode_words(listed: list[str], model: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of each word, all ids): every word through the library once."""
+    tokenizer = _tokenizer(model)
     long, flat = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
     for a in range(0, len(listed), 10_000):
         got = [e.ids for e in tokenizer.encode_batch_fast(listed[a : a + 10_000], add_special_tokens=False)]
@@ -157,7 +181,7 @@ def _assemble(docs: DataFrame, model_path: str, id_col: str, text_col: str, dige
     pieces_of = spark.sparkContext.broadcast([p for _, p in pieces(model_path)])  # as large as the vocabulary
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(batches):
+        for number, batch in _cut(batches):
             if batch.num_rows:
                 block = Block(batch.column(1).to_pylist())
                 n = len(block.keys)
@@ -173,7 +197,7 @@ def _assemble(docs: DataFrame, model_path: str, id_col: str, text_col: str, dige
                 control, data = pack(rank[block.where])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([_number(batch, k)], pa.int64()),
+                        pa.array([number], pa.int64()),
                         pa.array([n], pa.int32()),
                         pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0)),
                         pa.array([_zip(block.counts.tobytes())], pa.binary()),

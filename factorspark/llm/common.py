@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,6 +12,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _give_memory_back() -> None:
+    """Have large blocks returned to the system when they are freed.
+
+    A Python worker lives as long as its executor and runs task after task. By default the allocators keep what one task has
+    freed, so that the largest moments of different operators would add up in the executor's memory.
+    """
+    if sys.platform.startswith("linux"):
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: blocks from 1 MB on are mapped one by one
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_give_memory_back()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach: spark.checkpoint.dir, or one of our own where it is unset."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
