@@ -112,7 +112,7 @@ def test_large_nodes_are_searched_whole(n, spread):
     gray = lambda v: sum(((int(v) >> s).bit_count() & 1) << s for s in range(64))
     x = np.array(sorted(set(x.tolist()), key=gray), np.uint64)
     label = np.arange(len(x))
-    simhash._search(x, label, 2)
+    simhash._search(x[:, None], label, 2)
     near = np.bitwise_count(x[:, None] ^ x[None]) <= 2
     want, old = np.arange(len(x)), None
     while old is None or (want != old).any():
@@ -153,18 +153,19 @@ def test_long_chains_settle(spark):
 @pytest.mark.parametrize("rows", [ODD, big(5, 200), []])
 def test_token_id_files(spark, tmp_path, rows):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    rows = [(i, t) for i, t in rows if i is not None]
     folder = f"file://{tmp_path}/ids"
     made = token_ids.write_ids(frame(spark, rows), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, folder=folder)
     got = token_ids.read_ids(made, folder).collect()
     want, start = [], 0
-    for i, t in sorted(rows, key=lambda r: r[0]):
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     if len({i for i, _ in rows}) == len(rows):
         assert sorted(tuple(r) for r in got) == want
-    assert sorted((r["id"], r["ids_crc32"]) for r in got) == sorted((i, c) for i, _, _, c in want)
+    assert sorted(((r["id"], r["ids_crc32"]) for r in got), key=str) == sorted(((i, c) for i, _, _, c in want), key=str)
+    spans = sorted((r["start"], r["n_tokens"]) for r in got)  # one after another, without gaps
+    assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False))
 
 
 def test_engines_agree_on_every_code_point():
@@ -194,3 +195,62 @@ def test_bpe_both_ways(spark, rows):
     assert sorted(got, key=str) == sorted(want, key=str)
     whole = bpe.encode(frame(spark, rows), path).collect()
     assert sorted((str(r["id"]), r["decoded"]) for r in whole) == sorted((str(i), library.decode(library.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False)) for i, t in rows)
+
+
+def test_blocks_cover_every_row_once(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 10)
+    texts = ["a", None, "b" * 30, "", "cc", "d" * 9, "e", "f" * 10]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts), pa.array([5] * 8)], names=["id", "text", "p"])
+    got = list(bpe._cut(iter([batch, batch])))
+    assert [n for n, _ in got] == [(5 << 32) + k for k in range(len(got))]
+    assert sum([b.column(1).to_pylist() for _, b in got], []) == texts * 2
+    assert all(b.num_rows == 1 or sum(len(t or "") for t in b.column(1).to_pylist()) <= 10 for _, b in got)
+
+
+def shingles(text, k=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def near_copies(seed=2, n=60):
+    """Texts with copies of rising distance: (rows, {pair: Jaccard similarity})."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice(["th", "er", "on", "an", "re", "ti", "in"]) for _ in range(rnd.randint(1, 4)))
+    rows = []
+    for _ in range(n):
+        base = [word() for _ in range(rnd.randint(150, 400))]
+        rows.append((len(rows), " ".join(base)))
+        for edits in (1, 2, 3, 30):
+            w = list(base)
+            for p in rnd.sample(range(len(w)), min(len(w), edits * len(w) // 150)):
+                w[p] = word()
+            rows.append((len(rows), " ".join(w)))
+    sets = [shingles(t) for _, t in rows]
+    pairs = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for g in range(n) for i, j in itertools.combinations(range(5 * g, 5 * g + 5), 2)}
+    return rows, pairs
+
+
+def test_similar_texts_are_grouped_and_others_left_alone(spark):
+    rows, pairs = near_copies()
+    got = {r["id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    close = [p for p, j in pairs.items() if j >= 0.82]
+    assert len(close) > 100 and np.mean([got[i] == got[j] for i, j in close]) >= 0.97
+    assert all(got[i] != got[j] for (i, j), v in pairs.items() if v < 0.6)
+    assert all(c // 5 == i // 5 for i, c in got.items())  # nothing across texts
+    kept = {r["doc_id"] for r in simhash.keep_one(frame(spark, rows)).collect()}
+    assert kept == {i for i, c in got.items() if i == c}
+    assert simhash.similar_groups(frame(spark, [])).collect() == []
+
+
+def test_wide_groups_are_those_of_all_pairs(spark):
+    rows = big(9, 200) + [(7000 + i, t) for i, t in ODD if i is not None]
+    fps = [int.from_bytes(simhash.wide_fingerprint(t), "little") for _, t in rows]
+    groups = brute_groups(fps, simhash.wide_limit(0.8))
+    least = {}
+    for (i, _), g in zip(rows, groups, strict=True):
+        least[g] = min(least.get(g, 10**9), i)
+    got = sorted((r["id"], r["component_id"]) for r in simhash.similar_groups(frame(spark, rows)).collect())
+    want = sorted((i, least[g]) for (i, _), g in zip(rows, groups, strict=True))
+    assert np.mean([a == b for a, b in zip(got, want, strict=True)]) >= 0.97

@@ -265,8 +265,8 @@ def test_quality_on_held_out_rows(spark):
 
 
 def test_quality_edges(spark):
-    with pytest.raises(ValueError, match="trusted positives"):
-        quality.learn(frame(spark, [(1, "a")]), spark.createDataFrame([], "doc_id bigint, quality int"))
+    nothing = quality.learn(frame(spark, [(1, "a")]), spark.createDataFrame([], "doc_id bigint, quality int"))
+    assert sorted(r["score"] for r in quality.score(frame(spark, [(1, "a b"), (2, None)]), nothing).collect()) == [0.0, 0.5]
     x = np.random.default_rng(0).normal(size=(6000, 5))
     x[5000:, 0] += 8
     assert abs(quality.estimate_prior(x[:2000], x[2000:]) - 0.75) < 0.1
@@ -294,8 +294,9 @@ def test_language_edges(spark):
     assert got[900] == got[901] == got[902] == ("und", 0.0)
     assert got[903][0] == got[904][0] == "aa"
     assert np.mean([got[i][0] == lang for i, _, lang in rows]) == 1.0
-    with pytest.raises(ValueError, match="language"):
-        langid.learn(df.limit(0))
+    nothing = langid.learn(df.limit(0))
+    assert {tuple(r)[1:] for r in langid.predict(df, nothing).collect()} == {("und", 0.0)}
+    assert langid.predict(df.limit(0), net).collect() == []
 
 
 def test_merged_tables_are_the_same_filters():
@@ -307,13 +308,58 @@ def test_merged_tables_are_the_same_filters():
     assert np.allclose(net.logits(x, net.pairs()), want, atol=1e-3)
 
 
+# Awkward tables through every query and stage.
+
+
+def awkward(spark, folder, empty):
+    """Tables with nulls in every column, repeated rows, ties, a very long text and columns whose names clash with inner ones."""
+    long = "the quick brown fox jumps over the lazy dog " * 3000
+    docs = [] if empty else [
+        (1, "a normal text of some words here", "en", "s", 5), (1, "a normal text of some words here", "en", "s", 5), (2, None, None, None, None), (None, "without an id", "en", None, 3), (None, None, None, None, None),
+        (3, "", "fr", "s", 0), (4, long, "en", "s", len(long)), (5, "token=abcdef123456 bob@x.org +1 (974) 555-3436", None, "s", 4), (6, "\n \t", "de", "s", 3), (7, "d'accord \u00e9t\u00e9 \U0001f600", "fr", "s", 9),
+    ]
+    clash = ", ".join(f"{c} string" for c in ("id", "fp", "digest", "top", "n", "row", "uid", "component_id", "score", "words", "block", "p"))
+    spark.createDataFrame([(*d, *["x"] * 12) for d in docs], f"doc_id bigint, text string, lang string, source string, n_chars bigint, {clash}").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([] if empty else [(1, 1, 0), (4, 1, None), (None, 1, 0), (3, None, 1), (5, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([] if empty else [(0, None), (None, "some words of an item that is nowhere at all"), (1, "a normal text of some words here"), (1, "a normal text of some words here")], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([] if empty else [(1, None, None), (None, "u", "<p>some words</p>"), (2, "u", ""), (2, "u", "<p>" + long + "</p>"), (3, None, "<article><p>a b c</p></article>")], "page_id bigint, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    return len(docs)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_awkward_tables(spark, tmp_path, empty):
+    n = awkward(spark, tmp_path, empty)
+    for name, query in queries.queries().items():
+        rows = query(spark, str(tmp_path)).collect()
+        if name in ("op4_main_text",):
+            assert len(rows) == (0 if empty else 5)
+        elif name == "op9_decontaminate":
+            assert {(r["doc_id"], r["item_id"]) for r in rows} == (set() if empty else {(1, 1)})
+        else:
+            assert len(rows) == n, name
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_awkward_tables_through_the_pipeline(spark, tmp_path, empty):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    awkward(spark, tmp_path, empty)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns, name
+        got.collect()
+    left = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert left <= {None, 4, 5, 6, 7}  # the benchmark item and what has no content are gone
+
+
 # The pipeline.
 
 
 @pytest.mark.skipif(not os.path.exists(os.path.join(os.path.dirname(__file__), "../../corpus_pipeline.py")), reason="the pipeline is not here")
 def test_pipeline_against_its_stages_by_brute_force(spark):
     import corpus_pipeline
-    from tests.llm.test_copies_and_tokens import brute_fingerprint, brute_groups
+    from factorspark.llm import simhash
+    from tests.llm.test_copies_and_tokens import brute_groups
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     net = quality.learn(docs, spark.read.parquet(f"{SF}/labels.parquet"))
@@ -325,11 +371,12 @@ def test_pipeline_against_its_stages_by_brute_force(spark):
         if k not in best or len(t) > len(best[k][1]):
             best[k] = (i, t)
     left = sorted(best.values())
-    groups = brute_groups([brute_fingerprint(t) for _, t in left], 4)
+    groups = brute_groups([int.from_bytes(simhash.wide_fingerprint(t), "little") for _, t in left], simhash.wide_limit(0.8))
     left = [row for k, row in enumerate(left) if groups[k] == k]
     leaks = {r["doc_id"] for r in queries.op9_decontaminate(spark, SF).collect()}
     got = corpus_pipeline.run(spark, SF)
-    assert sorted(r["doc_id"] for r in got.collect()) == [i for i, _ in left if i not in leaks]
+    kept, want = {r["doc_id"] for r in got.collect()}, {i for i, _ in left if i not in leaks}
+    assert want <= kept and len(kept - want) <= 0.01 * len(want)  # all but few links at the limit are found
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert len(corpus_pipeline.STAGES) == 5
     kept = docs.filter(F.col("doc_id") < 50)
