@@ -343,7 +343,18 @@ def _factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("code", "date", *[F.col(c.factor_id).alias(k) for k, c in compiled.items()])
 
 
-@register("rank_correlations")
+def _key(x: str) -> str:
+    """What the production rank compares: twelve digits of the date's largest."""
+    return f"round_even({x} / CASE WHEN max(abs({x})) OVER {D} > 0 THEN max(abs({x})) OVER {D} ELSE 1 END, 12)"
+
+
+_PAIRED = f"""WITH {PANEL_SQL}, fa AS (SELECT code, date, CASE WHEN u THEN close END AS c, CASE WHEN u THEN volume END AS v, CASE WHEN u THEN close / CASE WHEN abs(lag(close, 3) OVER {L}) > 1e-12 THEN lag(close, 3) OVER {L} END - 1 END AS x FROM p),
+fb AS (SELECT date, {_key('c')} AS a, v AS c, {_key('x')} AS d FROM fa), fc AS (SELECT *, -a AS b FROM fb),
+fd AS (SELECT {', '.join(f"({rank_sql(k)}) / count({k}) OVER {D} AS {k}" for k in 'abcd')} FROM fc)
+""" + " UNION ALL ".join(f"SELECT '{x}' AS \"left\", '{y}' AS \"right\", count(*) AS n, round(corr({x}, {y}), 6) + 0.0 AS correlation FROM fd WHERE {x} IS NOT NULL AND {y} IS NOT NULL" for i, x in enumerate("abcd") for y in "abcd"[i + 1 :])
+
+
+@register("rank_correlations", _PAIRED)
 def rank_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(cheap.rank_correlations(_factors(spark, sf_dir), list(_FACTORS)), 6)
 

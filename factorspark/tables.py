@@ -8,18 +8,27 @@ from pyspark.sql import functions as F
 from .prep.panel import densify
 
 
+#: Room for a price in cents below a trade's second.
+PACK = 1 << 30
+
+
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly bars of each supplier: unit prices as open, high, low, close; quantity and value as volume and amount."""
-    # Whole cents, by operations that every engine does alike.
-    unit = F.floor(F.col("l_extendedprice") / F.when(F.col("l_quantity") != 0, F.col("l_quantity")) * 100).cast("double") / 100
-    rows = lineitem(spark, sf_dir).select(F.col("l_suppkey").alias("code"), F.trunc("l_shipdate", "MM").alias("date"), F.struct(F.col("l_shipdate").alias("at"), unit.alias("unit")).alias("trade"), unit.alias("unit"), "l_quantity", "l_extendedprice")
-    return rows.groupBy("code", "date").agg(
-        F.min("trade")["unit"].alias("open"), F.max("unit").alias("high"), F.min("unit").alias("low"), F.max("trade")["unit"].alias("close"), F.sum("l_quantity").alias("volume"), F.round(F.sum("l_extendedprice"), 2).alias("amount")
-    )
+    """Monthly bars of each supplier: unit prices as open, high, low, close; quantity and value as volume and amount.
+
+    Prices are whole cents, by operations that every engine does alike. A trade's second and price are packed in one long,
+    so that first and last trade (ties: the lowest first, the highest last) are plain minima and maxima: a hash aggregate
+    with map-side combine instead of a sort.
+    """
+    cents = F.floor(F.col("l_extendedprice") / F.when(F.col("l_quantity") != 0, F.col("l_quantity")) * 100).cast("bigint")
+    trade = F.unix_seconds(F.col("l_shipdate").cast("timestamp")) * PACK + cents
+    rows = lineitem(spark, sf_dir).select(F.col("l_suppkey").alias("code"), F.trunc("l_shipdate", "MM").alias("date"), trade.alias("trade"), cents.alias("cents"), "l_quantity", "l_extendedprice")
+    bars = rows.groupBy("code", "date").agg(F.min("trade").alias("first"), F.max("trade").alias("last"), F.max("cents").alias("high"), F.min("cents").alias("low"), F.sum("l_quantity").alias("volume"), F.round(F.sum("l_extendedprice"), 2).alias("amount"))
+    price = lambda c: F.col(c).bitwiseAND(F.lit(PACK - 1)) / 100.0
+    return bars.select("code", "date", price("first").alias("open"), (F.col("high") / 100.0).alias("high"), (F.col("low") / 100.0).alias("low"), price("last").alias("close"), "volume", "amount")
 
 
 def stock_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
