@@ -8,20 +8,29 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+#: Most nodes whose least neighbour is broadcast: those with over 1/HUBS of all edge ends.
+HUBS = 1024
+
+
+def _star(edges: DataFrame, large: bool, ends: int) -> DataFrame:
     """One star step. large: every node sends its larger neighbours to its least neighbour; small: its smaller ones.
 
-    The least neighbour comes from a map-side aggregate and goes back to the edges by a join whose other side has one row
-    a node, so a node with very many edges is split by adaptive skew joins instead of meeting in one task.
+    The least neighbour comes from a map-side aggregate and goes back to the edges by a join. Hubs, of which there are at
+    most HUBS, meet their edges where those are read; no other node has more than ``ends`` / HUBS edges to bring to one task.
     """
     if large:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        rows = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        rows = rows.filter("v > u")
     else:
-        down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        out = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        rows = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    is_hub = F.col("n") * HUBS >= ends
+    hubs = F.broadcast(least.filter(is_hub).select("u", "m"))
+    met = rows.join(hubs, "u").unionByName(rows.join(hubs, "u", "left_anti").join(least.filter(~is_hub).select("u", "m"), "u"))
+    out = met.select(F.col("v").alias("u"), F.col("m").alias("v"))
+    if not large:
+        out = out.unionByName(least.select("u", F.col("m").alias("v")))
     return out.filter("u <> v").distinct()
 
 
@@ -38,5 +47,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if tuple(got) == mark or not got[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = tuple(got)
-        edges = cut(_star(_star(edges, True), False))
+        edges = cut(_star(cut(_star(edges, True, 2 * got[0])), False, got[0]))
     raise RuntimeError("connected components did not settle")
