@@ -28,6 +28,8 @@ from .sampling import fold
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 12
 DOCUMENTS, WINDOWS = 400, 4
 EPOCHS, BATCH, RATE, SEED = 12, 128, 0.01, 5
+#: Range of the places that ids are hashed to.
+RANGE = 1 << 40
 #: Windows that are taken together at inference.
 TOGETHER = 256
 UNDETERMINED = "und"
@@ -127,10 +129,13 @@ def train(x: np.ndarray, y: np.ndarray, names: list[str]) -> Net:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held_out: int = 1) -> Net:
     """Fit on texts with a language whose fold is not the held-out one."""
     rows = docs.filter((fold(id_col, folds) != held_out) & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"))
-    # Least hashes of each language, in two steps, so that no task gets all rows of a language.
-    order = [F.xxhash64("i"), F.col("i")]
-    some = rows.withColumn("s", F.pmod(F.xxhash64("i", F.lit(1)), F.lit(64))).withColumn("r", F.row_number().over(Window.partitionBy("l", "s").orderBy(*order))).filter(F.col("r") <= DOCUMENTS)
-    chosen = some.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(*order))).filter(F.col("r") <= DOCUMENTS).select("i", "l").distinct()
+    # The least hashes of each language: a threshold from its count leaves about four times as many as wanted, so that
+    # ranking is over few rows however many a language has.
+    counts = F.broadcast(rows.groupBy("l").agg(F.count("*").alias("n")))  # a row a language
+    place = F.pmod(F.xxhash64("i"), F.lit(RANGE))
+    few = rows.join(counts, "l").filter(place.cast("double") * F.col("n") < F.lit(4.0 * DOCUMENTS * RANGE))
+    order = Window.partitionBy("l").orderBy(place, F.xxhash64("i"), "i")
+    chosen = few.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= DOCUMENTS).select("i", "l").distinct()
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i").select("i", "l", "t")  # DOCUMENTS ids a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
