@@ -4,7 +4,8 @@ Texts and items are strings of words (runs of letters and digits, lower case); a
 is within ``floor((1 - similarity) * words of the item)`` word edits of it.
 
 1. Sound filter. ``k`` edits destroy at most ``q * k`` of an item's word q-grams, so only windows that hold at least
-   ``n - q + 1 - q * k`` q-grams of the benchmark can match. It drops no match; it leaves about the contaminated passages.
+   ``n - q + 1 - q * k`` q-grams of the benchmark can match, for the n of a class that asks least (the bound falls where n
+   passes a multiple of 5, so that need not be its shortest item). It drops no match; it leaves about the contaminated passages.
 2. Candidates. The remaining item-sized windows are embedded by the random walk of Chakraborty, Goldenberg and Koucky:
    at step j the walk writes its current word and moves on if a random bit for (j, word) says so, which turns edit
    distance into Hamming distance. ``REPEATS`` walks, each with ``SAMPLED`` sampled positions, are the hash tables of a
@@ -72,6 +73,7 @@ class Class:
 
     low: int
     high: int
+    sizes: list[int]  # distinct numbers of words of its items
     steps: int
     salt: np.ndarray  # (steps, REPEATS)
     samples: np.ndarray  # (REPEATS, SAMPLED), steps at which words are taken
@@ -116,7 +118,7 @@ class Index:
         steps = max(SAMPLED, 2 * low - low // 2)
         samples = np.stack([np.sort(rnd.choice(steps, SAMPLED, replace=False)) for _ in range(REPEATS)])
         salt = rnd.integers(0, 1 << 63, (steps, REPEATS), dtype=np.uint64)
-        made = Class(low, high, steps, salt, samples, np.empty(0, np.uint64), np.empty(0, np.int64))
+        made = Class(low, high, sorted({len(self.words[i]) for i in mine}), steps, salt, samples, np.empty(0, np.uint64), np.empty(0, np.int64))
         flat = np.concatenate([np.r_[self.words[i], np.full(steps, PAD)] for i in mine])
         long = np.array([len(self.words[i]) + steps for i in mine])
         start = np.cumsum(long) - long
@@ -202,8 +204,7 @@ def find(index: Index, texts: list[str | None]) -> list[tuple[int, int, int, int
         if not count[-1]:
             continue
         for c in classes:
-            k = index.edits(c.low)
-            need = max(1, c.low - (q - 1) - q * k)
+            need = max(1, min(n - (q - 1) - q * index.edits(n) for n in c.sizes))
             reach = c.high + index.edits(c.high)
             last = np.minimum(np.arange(n) + reach, n)
             start = np.flatnonzero(count[last] - count[:n] >= need)

@@ -226,6 +226,24 @@ def test_planted_items_are_found(spark):
     assert decontaminate.matches(df, bench.limit(0)).collect() == []
 
 
+def test_evenly_edited_item_passes_the_filter_of_its_class():
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    for short, long, seen in ((38, 40, 14), (14, 15, 4)):
+        items = [(n, " ".join(word() for _ in range(n))) for n in (short, long)]
+        texts = []
+        for _ in range(200):
+            w = items[1][1].split()
+            for at in range(2, long, 5):
+                w[at] = word()
+            texts.append(" ".join([word() for _ in range(30)] + w + [word() for _ in range(30)]))
+        index = decontaminate.Index(items)
+        table = set(index.gram[3].tolist())
+        assert all(sum(g in table for g in decontaminate.grams(decontaminate.word_hashes([t])[0], 3).tolist()) == seen for t in texts)
+        found = decontaminate.find(index, texts)  # before, the filter left none; now the LSH decides
+        assert len(found) >= 0.75 * len(texts) and all(i == 1 and e == len(range(2, long, 5)) for _, i, _, _, e in found)
+
+
 def test_all_matches_against_brute_force(spark):
     """On the tables: every window of every document against every item, by exact word edits."""
     bench = [(r["item_id"], re.findall(r"\w+", r["text"].lower())) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
