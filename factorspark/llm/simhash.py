@@ -282,19 +282,25 @@ def _named(table: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFr
 WIDE, RECALL = 256, 0.99
 
 
-def wide_fingerprint(text: str | None, words: int = 5) -> bytes:
-    """The 256-bit fingerprint of a text, little-endian words."""
+def shingle_digests(text: str | None, words: int = 5) -> list[bytes]:
+    """A 16-byte digest of each distinct shingle of a text; none for a text without words."""
     w = raw(text or "").lower().split()
     if not w:
-        return bytes(WIDE // 8)
+        return []
     line = b" ".join(w)
+    digest = xxhash.xxh3_128_digest
+    if len(w) <= words:
+        return [digest(line)]
     size = np.fromiter(map(len, w), np.int64, len(w))
     end = np.cumsum(size + 1) - 1
-    if len(w) <= words:
-        got = [xxhash.xxh3_128_digest(line)]
-    else:
-        digest = xxhash.xxh3_128_digest
-        got = [digest(line[i:j]) for i, j in zip((end - size)[: 1 - words].tolist(), end[words - 1 :].tolist(), strict=True)]
+    return list({digest(line[i:j]) for i, j in zip((end - size)[: 1 - words].tolist(), end[words - 1 :].tolist(), strict=True)})
+
+
+def wide_fingerprint(text: str | None, words: int = 5) -> bytes:
+    """The 256-bit fingerprint of a text's set of shingles, little-endian words."""
+    got = shingle_digests(text, words)
+    if not got:
+        return bytes(WIDE // 8)
     half = np.frombuffer(b"".join(got), "<u8").reshape(-1, 2)
     more = mix(half * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019))
     count = np.zeros(WIDE, np.int64)

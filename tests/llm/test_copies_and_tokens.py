@@ -254,3 +254,12 @@ def test_wide_groups_are_those_of_all_pairs(spark):
     got = sorted((r["id"], r["component_id"]) for r in simhash.similar_groups(frame(spark, rows)).collect())
     want = sorted((i, least[g]) for (i, _), g in zip(rows, groups, strict=True))
     assert np.mean([a == b for a, b in zip(got, want, strict=True)]) >= 0.97
+
+
+def test_a_repeated_line_does_not_make_texts_similar(spark):
+    rnd = random.Random(4)
+    own = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    line = own(20)
+    rows = [(i, " ".join(own(204) + line * 20)) for i in range(10)]
+    assert max(len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for (_, a), (_, b) in itertools.combinations(rows, 2)) < 0.1
+    assert {r["doc_id"] for r in simhash.keep_one(frame(spark, rows)).collect()} == set(range(10))
