@@ -278,8 +278,14 @@ def _named(table: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFr
 
 # Near copies by similarity: wide fingerprints.
 
-#: Bits of a wide fingerprint; links are sought until a pair at the threshold is found with this probability.
+#: Bits of a wide fingerprint; links are sought until a pair at the threshold shares a mask with this probability.
 WIDE, RECALL = 256, 0.99
+#: Candidates differ in bits up to the average at the threshold and so many standard deviations.
+SPREAD = 3
+#: Members, and bytes of shingle sets, of a candidate group's part; two parts meet in a task.
+PART, PART_BYTES = 20_000, 1 << 26
+#: Candidates of a member that are verified at a time.
+STEP = 2048
 
 
 def shingle_digests(text: str | None, words: int = 5) -> list[bytes]:
@@ -315,10 +321,10 @@ def bit_rate(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def wide_limit(similarity: float) -> int:
-    """Differing bits up to which texts count as similar: the average at the threshold and one standard deviation."""
+def wide_limit(similarity: float, deviations: float = 1) -> int:
+    """Differing bits of texts at this similarity: the average and so many standard deviations."""
     p = bit_rate(similarity)
-    return int(WIDE * p + math.sqrt(WIDE * p * (1 - p)))
+    return int(WIDE * p + deviations * math.sqrt(WIDE * p * (1 - p)))
 
 
 def wide_plan(n: int, similarity: float, recall: float = RECALL) -> tuple[int, int]:
@@ -330,7 +336,7 @@ def wide_plan(n: int, similarity: float, recall: float = RECALL) -> tuple[int, i
 
 
 def wide_links(fps: DataFrame, similarity: float, recall: float = RECALL) -> DataFrame:
-    """Edges (u, v) between similar distinct fingerprints (fp bytes, w four longs), under sampled masks."""
+    """Candidate edges (u, v) between distinct fingerprints (fp bytes, w four longs), under sampled masks."""
     size, many = wide_plan(fps.count(), similarity, recall)
     rnd = np.random.default_rng(size)
     under = []
@@ -340,15 +346,111 @@ def wide_links(fps: DataFrame, similarity: float, recall: float = RECALL) -> Dat
         words = np.packbits(mask, bitorder="little").view("<i8").tolist()
         under.append(F.struct(F.lit(k).cast("bigint").alias("mask"), F.xxhash64(*[F.element_at("w", i + 1).bitwiseAND(F.lit(m)) for i, m in enumerate(words)]).alias("pattern")))
     nodes = fps.select("fp", "w", F.explode(F.array(*under)).alias("n")).select("fp", "w", "n.*")
-    return _edges(nodes, wide_limit(similarity), gray_rank(F.element_at("w", 1)))
+    return _edges(nodes, wide_limit(similarity, SPREAD), gray_rank(F.element_at("w", 1)))
+
+
+def alike(x: np.ndarray, sets: list[np.ndarray], side: np.ndarray, bits: int, similarity: float) -> tuple[list[int], list[int]]:
+    """Edges that connect what pairs within ``bits`` of exact Jaccard ``similarity`` connect; of two sides, only pairs across.
+
+    ``sets`` are sorted. A pair that is connected already is not compared.
+    """
+    n = len(x)
+    size = np.array([len(s) for s in sets], np.int64)
+    label = np.arange(n)
+    across = side.min() != side.max()
+    u: list[int] = []
+    v: list[int] = []
+    for i in range(n - 1):
+        near = i + 1 + np.flatnonzero(_apart(x[i], x[i + 1 :]) <= bits)
+        if across:
+            near = near[side[near] != side[i]]
+        near = near[np.minimum(size[near], size[i]) >= similarity * np.maximum(size[near], size[i]) - 1e-9]
+        while True:
+            near = near[label[near] != label[i]]
+            if not len(near):
+                break
+            some, near = near[:STEP], near[STEP:]
+            each = np.concatenate([sets[j] for j in some.tolist()])
+            at = np.minimum(np.searchsorted(sets[i], each), size[i] - 1)
+            shared = np.add.reduceat((sets[i][at] == each).astype(np.int64), np.cumsum(size[some]) - size[some])
+            hit = some[shared >= similarity * (size[i] + size[some] - shared) - 1e-9]
+            if len(hit):
+                u += hit.tolist()
+                v += [i] * len(hit)
+                met = np.unique(np.r_[label[hit], label[i]])
+                label[np.isin(label, met)] = met[0]
+        if (label == label[0]).all():
+            break
+    return u, v
+
+
+def verified(table: DataFrame, fps: DataFrame, found: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Edges (u, v) of exact shingle similarity among the groups that the candidate edges ``found`` connect.
+
+    ``table`` has a text for each row number ``at``; ``fps`` names one for each fingerprint. A group's shingle sets come to
+    one task, or, where they are more than PART or PART_BYTES, every two of its parts to one.
+    """
+
+    def shingle_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = [np.unique(np.frombuffer(b"".join(shingle_digests(t.as_py(), words)), "<u8")[::2]).tobytes() for t in batch.column(2)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.binary())], names=["root", "fp", "set"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u: list[bytes] = []
+        v: list[bytes] = []
+        held: list[pa.RecordBatch] = []  # the rows of the group that is still open
+        open_key = None
+
+        def flush() -> None:
+            rows = pa.Table.from_batches(held)
+            held.clear()
+            fp = rows.column("fp").to_pylist()
+            x = np.frombuffer(b"".join(fp), "<u8").reshape(len(fp), -1)
+            sets = [np.frombuffer(s.as_buffer(), "<u8") if s.as_buffer().size else np.empty(0, np.uint64) for s in rows.column("set")]
+            a, b = alike(x, sets, rows.column("part").to_numpy(), wide_limit(similarity, SPREAD), similarity)
+            u.extend(fp[k] for k in a)
+            v.extend(fp[k] for k in b)
+
+        for batch in batches:
+            keys = list(zip(*[batch.column(c).to_pylist() for c in ("root", "i", "j")], strict=True))
+            start = 0
+            for end in range(1, len(keys) + 1):
+                if end < len(keys) and keys[end] == keys[start]:
+                    continue
+                if keys[start] != open_key:
+                    if held:
+                        flush()
+                    open_key = keys[start]
+                held.append(batch.slice(start, end - start))
+                start = end
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
+            u.clear()
+            v.clear()
+        if held:
+            flush()
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
+
+    roots = components(found)
+    members = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
+    texts = members.join(fps.select("fp", "at"), "fp").join(table.select("at", "text"), "at").select("root", "fp", "text")
+    sets = cut(map_batches(texts, shingle_sets, "root binary, fp binary, set binary"))
+    parts = F.ceil(F.greatest(F.count("*") / PART, F.sum(F.length("set")) / PART_BYTES)).cast("int")
+    large = sets.groupBy("root").agg(parts.alias("parts")).filter("parts > 1")
+    sets = sets.join(F.broadcast(large), "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    sets = sets.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    dealt = sets.select("root", "fp", "set", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "fp", "set")
+    # Two parts meet in their own group, where their inner pairs are left out: a part's inner pairs are those of (part, part).
+    return dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "u binary, v binary")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, fp, component_id): groups of texts that links of at least this shingle similarity connect.
 
     A fingerprint of 64 bits is too coarse for a similarity of 0.8, at which about ten of its bits differ. Here it has 256,
-    and upper nodes are masks of sampled bits instead of all choices of blocks: a pair at the threshold is found with
-    probability RECALL, closer pairs almost surely. Similarity is judged by the differing bits, within about 0.03.
+    and upper nodes are masks of sampled bits instead of all choices of blocks: a pair at the threshold shares one with
+    probability RECALL, closer pairs almost surely. Differing bits only find candidates; links are pairs whose sets of
+    shingles have this Jaccard similarity exactly. Texts without words are equal to each other and to no other.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -356,10 +458,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         fp = [wide_fingerprint(t.as_py(), words) for t in batch.column(1)]
         flat = pa.array(np.frombuffer(b"".join(fp), "<i8"))
         w = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(fp) + 1, 4), pa.int32()), flat)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.binary()), w], names=["id", "fp", "w"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.binary()), w, batch.column(1)], names=["id", "fp", "w", "text"])
 
-    table = cut(map_batches(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, f"id {kind}, fp binary, w array<bigint>"))
-    return _named(table, lambda fps: wide_links(fps, similarity))
+    table = map_batches(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, f"id {kind}, fp binary, w array<bigint>, text string")
+    table = cut(table.withColumn("at", F.monotonically_increasing_id()))
+    return _named(table.drop("text"), lambda fps: verified(table, fps, wide_links(fps, similarity), similarity, words))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -263,3 +263,45 @@ def test_a_repeated_line_does_not_make_texts_similar(spark):
     rows = [(i, " ".join(own(204) + line * 20)) for i in range(10)]
     assert max(len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for (_, a), (_, b) in itertools.combinations(rows, 2)) < 0.1
     assert {r["doc_id"] for r in simhash.keep_one(frame(spark, rows)).collect()} == set(range(10))
+
+
+def banded(n=40, seed=6):
+    """Pairs of texts with a shared run and own ends, of similarity 0.65 to 0.85: (rows, similarity of each pair)."""
+    rnd = random.Random(seed)
+    own = lambda k: [f"w{rnd.randrange(10**6)}" for _ in range(k)]
+    rows, true = [], []
+    for p in range(n):
+        j = 0.65 + 0.2 * p / (n - 1)
+        base, k = own(304), round(300 * (1 - j) / (2 * j))
+        pair = [" ".join(base + own(k)) for _ in "ab"]
+        rows += [(2 * p, pair[0]), (2 * p + 1, pair[1])]
+        a, b = map(shingles, pair)
+        true.append(len(a & b) / len(a | b))
+    return rows, true
+
+
+@pytest.mark.parametrize("parted", [False, True])
+def test_links_are_judged_by_true_similarity(spark, monkeypatch, parted):
+    if parted:
+        monkeypatch.setattr(simhash, "PART_BYTES", 1000)
+    rows, true = banded(40)
+    got = {r["id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    linked = [got[2 * p + 1] == 2 * p for p in range(len(true))]
+    assert min(true) < 0.66 and max(true) > 0.84
+    assert not any(hit for hit, j in zip(linked, true, strict=True) if j < 0.8)
+    assert np.mean([hit for hit, j in zip(linked, true, strict=True) if j >= 0.8]) >= 0.9
+    assert all(c // 2 == i // 2 for i, c in got.items())
+
+
+def test_similar_groups_are_those_of_exact_similarity(spark):
+    rows = big(9, 200) + [(7000 + i, t) for i, t in ODD if i is not None]
+    sets = [shingles(t) for _, t in rows]
+    least = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = sorted((least[a], least[b]), key=lambda k: rows[k][0])
+            least = [x if k == y else k for k in least]
+    want = sorted((i, rows[k][0]) for (i, _), k in zip(rows, least, strict=True))
+    got = sorted((r["id"], r["component_id"]) for r in simhash.similar_groups(frame(spark, rows)).collect())
+    assert all(w <= g for (_, g), (_, w) in zip(got, want, strict=True))  # nothing is linked below
+    assert np.mean([a == b for a, b in zip(got, want, strict=True)]) >= 0.97
