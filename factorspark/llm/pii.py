@@ -16,25 +16,28 @@ from __future__ import annotations
 
 import random
 import re
+import string
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .spans import Span, free, matches, ordered, span_table, within_words
+from .spans import Span, free, matches, ordered, span_table
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+LOCAL = string.ascii_letters + string.digits + "._%+-"
+HOST = re.compile(r"[A-Za-z0-9.-]*")
+# The stated patterns, such that no start is tried twice: a match never begins within a run of digits, and what was taken is not given back.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+CARD = re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[^0-9]+")
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
 MARK = re.compile(r"[0-9@]|[\[({]\s?[aA][tT]\s?[\])}]")
 AROUND = 60
-#: Bits of the feature table, and rows of a Viterbi batch.
-HASHED, ROWS = 1 << 13, 512
+#: Slots of the feature table, and tokens of a padded Viterbi batch; a longer sequence is a batch of its own.
+HASHED, CELLS = 1 << 13, 1 << 15
 EPOCHS, RATE, PENALTY = 60, 0.2, 1e-3
 
 
@@ -55,9 +58,32 @@ def good_card(s: str) -> bool:
     return 14 <= len(d) <= 19 and luhn(d)
 
 
+def small(part: str) -> bool:
+    """Whether a run of digits, however long, is a number up to 255."""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
+def emails(text: str) -> list[Span]:
+    """Matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, found from each @ outwards in linear time."""
+    out, done = [], 0  # nothing before ``done`` can be part of a later match
+    at = text.find("@")
+    while at >= 0:
+        start = done + len(text[done:at].rstrip(LOCAL))
+        host = HOST.match(text, at + 1)[0]
+        gap = host.find("..")
+        host = (host if gap < 0 else host[:gap]).rstrip(".")
+        done = at + 1
+        if start < at and "." in host and host[0] != ".":
+            done += len(host)
+            out.append(("email", start, done))
+        at = text.find("@", done)
+    return out
+
+
 def base_spans(text: str) -> list[Span]:
-    out = within_words("email", EMAIL, text, "@")
-    out += matches("ip", IP, text, lambda m: all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")))
+    out = emails(text)
+    out += matches("ip", IP, text, lambda m: all(map(small, m[0].split("."))))
     out += matches("card", CARD, text, lambda m: good_card(m[0]))
     if "+" in text:
         out += matches("phone", PHONE, text, lambda m: 10 <= len(digits(m[0])) <= 15)
@@ -197,8 +223,12 @@ def viterbi(rows: list[np.ndarray], w: np.ndarray, tr: np.ndarray) -> list[list[
     out: list[list[int]] = [[] for _ in rows]
     order = sorted((i for i in range(len(rows)) if len(rows[i])), key=lambda i: len(rows[i]))
     start = np.array([-1e4 if t[0] == "I" else 0.0 for t in TAGS])
-    for a in range(0, len(order), ROWS):
-        part = order[a : a + ROWS]
+    a = 0
+    while a < len(order):
+        b = a + 1
+        while b < len(order) and (b + 1 - a) * len(rows[order[b]]) <= CELLS:
+            b += 1
+        part, a = order[a:b], b
         x, long = _padded([rows[i] for i in part])
         e = w[x].sum(axis=2)
         score = e[:, 0] + start
@@ -249,12 +279,12 @@ def good(kind: str, s: str) -> bool:
         return 10 <= len(d) <= 15 and len(re.findall(r"[0-9]+", s)) >= 3 and not re.search(r"[A-Za-z,:/@]", s)
     if kind == "ip":
         parts = s.split(".")
-        return len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() and small(p) for p in parts)
     return bool(re.search(r"@|[\[({]\s?at\s?[\])}]", s, re.IGNORECASE) and re.search(r"\.|\bdot\b", s, re.IGNORECASE) and re.search(r"[A-Za-z]", s))
 
 
-def find_all(texts: list[str], model: tuple[np.ndarray, np.ndarray]) -> list[list[Span]]:
-    base = [base_spans(t) for t in texts]
+def find_all(texts: list[str], model: tuple[np.ndarray, np.ndarray], base: list[list[Span]] | None = None) -> list[list[Span]]:
+    base = base or [base_spans(t) for t in texts]
     where, rows, tokens = [], [], []
     for i, text in enumerate(texts):
         for _, own in stretches(text):
@@ -284,6 +314,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     model = tuple(a.astype(np.float32) for a in trained())
 
     def run(texts: list[str]) -> list[list[tuple[str, int, int, bool]]]:
-        return [[(*s, s in base) for s in own] for own, base in zip(find_all(texts, model), (set(base_spans(t)) for t in texts), strict=True)]
+        base = [base_spans(t) for t in texts]
+        return [[(*s, s in named) for s in own] for own, named in zip(find_all(texts, model, base), map(set, base), strict=True)]
 
     return span_table(docs, run, id_col, text_col)

@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .spans import Span, free, matches, ordered, span_table
@@ -111,8 +112,15 @@ def text_tail(token: str) -> float:
     kind = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in token]
     pairs = [(x, y) for x, y in zip(kind, kind[1:], strict=False) if x < 3 and y < 3]
     n, k = len(pairs), sum(x != y for x, y in pairs)
-    q = TEXT_CHANGES
-    return min(1.0, sum(math.comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(k, n + 1)))
+    if not k:
+        return 1.0
+    # The terms as logarithms: each is the one before it times (n - i) / (i + 1) * q / (1 - q).
+    i = np.arange(k, n, dtype=np.float64)
+    odds = math.log(TEXT_CHANGES) - math.log1p(-TEXT_CHANGES)
+    first = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * odds + n * math.log1p(-TEXT_CHANGES)
+    terms = first + np.r_[0.0, np.cumsum(np.log(n - i) - np.log(i + 1) + odds)]
+    top = float(terms.max())
+    return min(1.0, math.exp(min(0.0, top + math.log(float(np.exp(terms - top).sum())))))
 
 
 def is_random(token: str) -> bool:

@@ -24,29 +24,21 @@ def matches(kind: str, pattern: re.Pattern, text: str, good: Callable[[re.Match]
     return [(kind, m.start(), m.end()) for m in pattern.finditer(text) if good(m)]
 
 
-def within_words(kind: str, pattern: re.Pattern, text: str, mark: str) -> list[Span]:
-    """``matches`` of a pattern without white space that needs ``mark``: only the words that hold the mark are searched."""
-    out, at = [], text.find(mark)
-    while at >= 0:
-        a = at
-        while a and not text[a - 1].isspace():
-            a -= 1
-        b = at
-        while b < len(text) and not text[b].isspace():
-            b += 1
-        out += [(kind, a + m.start(), a + m.end()) for m in pattern.finditer(text[a:b])]
-        at = text.find(mark, b)
-    return out
-
-
 def free(spans: Iterable[Span], taken: Iterable[Span]) -> list[Span]:
     """The spans that touch none of ``taken`` and no earlier one of their own."""
-    used = [(a, b) for _, a, b in taken]
-    out = []
+    held: list[list[int]] = []  # what is taken, as disjoint intervals in order
+    for a, b in sorted((a, b) for _, a, b in taken):
+        if held and a < held[-1][1]:
+            held[-1][1] = max(b, held[-1][1])
+        else:
+            held.append([a, b])
+    out, k, done = [], 0, 0
     for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
-        if all(b <= x or a >= y for x, y in used):
+        while k < len(held) and held[k][1] <= a:
+            k += 1
+        if a >= done and (k == len(held) or b <= held[k][0]):
             out.append((kind, a, b))
-            used.append((a, b))
+            done = b
     return out
 
 

@@ -76,6 +76,50 @@ def test_span_queries(spark, query, kinds):
         assert r["base_sha256"] == hashlib.sha256(brute(kinds, docs[r["doc_id"]] or "").encode()).hexdigest()
 
 
+def test_base_patterns_in_linear_time_are_the_stated_ones():
+    rnd = random.Random(8)
+    for _ in range(20_000):
+        t = "".join(rnd.choice("ab1.@.%-@ 2+") for _ in range(rnd.randint(0, 18)))
+        got = pii.base_spans(t)
+        assert ",".join(f"{k}:{a}:{b}" for k, a, b in pii.ordered(got, pii.KINDS)) == brute(PERSONAL, t), t
+
+
+def test_long_runs_of_one_kind_do_not_fail():
+    model = pii.trained()
+    find = lambda t: pii.find_all([t, "bob@x.org"], model)
+    assert find("1.2.3." + "0" * 5000)[0] == [("ip", 0, 5006)]
+    assert find("192.168.1.\u00b2")[0] == []
+    assert find("a" * 300_000 + "@") == [[], [("email", 0, 9)]]
+    assert find("1" * 300_000)[0] == [] and find("7 " * 20_000)[0] == []
+    assert find("a@b" + ".c" * 100_000)[0] == [("email", 0, 200_003)]
+    rnd = random.Random(1)
+    for n in (1100, 2000, 100_000):
+        key = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+        assert secret_scan.find(f"see {key} there") == [("random", 4, 4 + n)]
+
+
+def test_text_tail_is_the_binomial_tail():
+    import math
+
+    rnd = random.Random(2)
+    for _ in range(300):
+        t = "".join(rnd.choice("aB1_") for _ in range(rnd.randint(1, 200)))
+        kind = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in t]
+        pairs = [(x, y) for x, y in zip(kind, kind[1:], strict=False) if x < 3 and y < 3]
+        n, k, q = len(pairs), sum(x != y for x, y in pairs), secret_scan.TEXT_CHANGES
+        assert math.isclose(secret_scan.text_tail(t), min(1.0, sum(math.comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(k, n + 1))), rel_tol=1e-9)
+
+
+def test_added_spans_of_the_tables(spark):
+    """Spans beside the patterns' own: disjoint from those and each other, of their kinds, and as found text by text."""
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    model = tuple(a.astype(np.float32) for a in pii.trained())
+    for query, find in ((queries.op5_secrets, secret_scan.find), (queries.op6_pii, lambda t: pii.find_all([t], model)[0])):
+        for r in query(spark, SF).collect():
+            text = docs[r["doc_id"]]
+            assert r["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in find(text))
+
+
 def test_battery_tells_random_tokens_from_text():
     rnd = np.random.default_rng(3)
     letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
