@@ -21,6 +21,8 @@ entry each; an empty table gives an empty manifest.
 from __future__ import annotations
 
 import json
+import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -45,12 +47,19 @@ LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Characters of white space in a row from which on a text is for the library.
+RUN = 50_000
+_RUN = re.compile(rf"[\s\x85]{{{RUN}}}")
+
+
 class TextEncoder:
     """Encodes whole texts exactly as the tokenizers library does with the given byte-level BPE file.
 
     The ids come from a second engine that is built from the same file (its pieces in merge order, its split pattern): it is
-    about five times as fast and gives the same ids, which the tests hold against the library on every code point. Texts
-    that hold the string of an added token go to the library itself, which gives that token's id.
+    about five times as fast and gives the same ids, which the tests hold against the library on every code point and on
+    megabytes of white space, of one letter and of digits. Two sorts of text go to the library itself: those with the
+    string of an added token, whose id it gives, and those with a very long run of white space, for which the other engine's
+    pattern matcher keeps a stack that overflows (from about 800,000 characters on; ``RUN`` is far below).
     """
 
     def __init__(self, model: str):
@@ -59,12 +68,13 @@ class TextEncoder:
         letters = byte_letters()
         ranks = {bytes(letters[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in self.special}
         self.fast = tiktoken.Encoding("byte-bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         self.library = Tokenizer.from_str(model)
         self.library.no_truncation()
         self.library.no_padding()
 
     def encode(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or (len(text) >= RUN and _RUN.search(text)):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self.fast.encode_ordinary(text), np.uint32)
 
@@ -128,9 +138,12 @@ def read_block(raw: bytes, entry: dict) -> tuple[np.ndarray, np.ndarray]:
 def write_ids(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, folder: str | None = None) -> DataFrame:
     """Encode every text, write the files, and return the manifest: (part, path, docs, tokens, first), one row a file.
 
+    Ids of documents are whole numbers or strings (the index of a file is JSON); other types are refused.
     ``first`` is the number of ids in the files before this one. Files are in id order of their part numbers.
     """
     spark = docs.sparkSession
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long", "string"):
+        raise ValueError(f"{id_col} must be a whole number or a string")
     folder = folder or new_folder(spark, "token-ids")
     model = Path(model_path).read_text(encoding="utf-8")
     shared = spark.sparkContext.broadcast(model)  # as large as the vocabulary
@@ -213,5 +226,6 @@ def read_ids(manifest: DataFrame, folder: str, id_type: str = "bigint") -> DataF
                     )
                     start += int(stop[-1]) if len(stop) else 0
 
-    files = manifest.repartition("path").select("path", "first", F.lit(None).cast(id_type).alias("kind"))
+    # A task a file or so: without a stated number of partitions the few rows of the manifest would meet in one.
+    files = manifest.repartitionByRange(max(1, manifest.count()), "part").select("path", "first", F.lit(None).cast(id_type).alias("kind"))
     return files.mapInArrow(run, f"id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")

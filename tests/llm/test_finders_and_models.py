@@ -420,8 +420,7 @@ def test_awkward_tables_through_the_pipeline(spark, tmp_path, empty):
 @pytest.mark.skipif(not os.path.exists(os.path.join(os.path.dirname(__file__), "../../corpus_pipeline.py")), reason="the pipeline is not here")
 def test_pipeline_against_its_stages_by_brute_force(spark):
     import corpus_pipeline
-    from factorspark.llm import simhash
-    from tests.llm.test_copies_and_tokens import brute_groups
+    from tests.llm.test_copies_and_tokens import similar_brute
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     net = quality.learn(docs, spark.read.parquet(f"{SF}/labels.parquet"))
@@ -433,7 +432,7 @@ def test_pipeline_against_its_stages_by_brute_force(spark):
         if k not in best or len(t) > len(best[k][1]):
             best[k] = (i, t)
     left = sorted(best.values())
-    groups = brute_groups([int.from_bytes(simhash.wide_fingerprint(t), "little") for _, t in left], simhash.wide_limit(0.8))
+    groups = similar_brute([t for _, t in left])
     left = [row for k, row in enumerate(left) if groups[k] == k]
     leaks = {r["doc_id"] for r in queries.op9_decontaminate(spark, SF).collect()}
     got = corpus_pipeline.run(spark, SF)
