@@ -16,6 +16,7 @@ from .errors import ExpressionError
 VERSION = "0.1.0"
 #: Fixed value: the format of a batch of expressions.
 BATCH = "ashare-factor-expression-batch.v1"
+#: The commands; with their options below they are the interface.
 COMMANDS = ("capabilities", "schema", "doctor", "compile", "inspect-job", "audit-factor", "audit-causality", "measure-factor", "evaluate", "evaluate-batch")
 
 
@@ -74,12 +75,12 @@ def _session():
 
 
 def perform(a: argparse.Namespace) -> tuple[str, dict, list[str], list[str], bool]:
-    """(command, data, warnings, next actions, passed)."""
+    """(command, data, warnings, next actions, passed). The names of next actions are fixed values."""
     if a.command == "capabilities":
         return a.command, {"commands": list(COMMANDS), "engine_version": VERSION, "machine_protocol": artifacts.PROTOCOL, "scope": "factor_evaluation", "excluded_capabilities": ["factor_search", "multi_factor_portfolio", "live_trading"]}, [], ["schema", "doctor"], True
     if a.command == "doctor":
         e = Engine()
-        return a.command, {"core": "ready", "operator_catalog_version": e.operators.version, "field_catalog_version": e.fields.version}, ["No dataset was requested or validated."], ["compile"], True
+        return a.command, {"core": "ready", "operator_catalog_version": e.operators.version, "field_catalog_version": e.fields.version}, ["No data was looked at."], ["compile"], True
     engine = Engine() if a.job is None else services.prepared(_session(), a.job).engine if a.command in ("schema", "compile") else None
     if a.command == "schema":
         return a.command, services.describe(engine), [], ["compile"], True
@@ -92,7 +93,7 @@ def perform(a: argparse.Namespace) -> tuple[str, dict, list[str], list[str], boo
         return a.command, p.identity() | {"engine_version": VERSION, "trading_dates": len(p.dates), "load_start": p.load_start}, [], ["compile", "audit-factor", "audit-causality", "evaluate"], True
     if a.command == "audit-causality":
         data = services.audit_causality(spark, a.job, a.expression, a.work_root)
-        return a.command, data, ["Prefix invariance checks expression execution, not upstream data truth."], ["evaluate" if data["passed"] else "fix_expression_or_operator"], data["passed"]
+        return a.command, data, ["Only the evaluation was checked, not when its data became known."], ["evaluate" if data["passed"] else "fix_expression_or_operator"], data["passed"]
     if a.command == "audit-factor":
         data = services.audit_factor(spark, a.job, a.expression, a.work_root)
         good = data["status"] == "factor_validity_verified"
@@ -113,18 +114,19 @@ def main(argv: list[str] | None = None) -> int:
     except SystemExit as e:
         return int(e.code or 0)
     run = a.run_id or uuid.uuid4().hex
-    code = artifacts.OK
+    failed = lambda code, message, *actions: artifacts.protocol_line(a.command, "error", run, {"error": {"code": code, "message": message}}, next_actions=actions)
+    code = artifacts.INPUT_ERROR
     try:
         with contextlib.redirect_stdout(sys.stderr):
             command, data, warnings, actions, passed = perform(a)
-        line = artifacts.Envelope(command, "ok" if passed else "error", run, data, warnings, actions).line()
         code = artifacts.OK if passed else artifacts.INTERNAL_ERROR
+        line = artifacts.protocol_line(command, "ok" if passed else "error", run, data, warnings, actions)
     except ExpressionError as e:
-        line, code = artifacts.Envelope(a.command, "error", run, {"error": {"code": e.code, "message": e.message}}, [], ["fix_expression", "schema"]).line(), artifacts.INPUT_ERROR
+        line = failed(e.code, e.message, "fix_expression", "schema")
     except (TypeError, ValueError, OSError) as e:
-        line, code = artifacts.Envelope(a.command, "error", run, {"error": {"code": "INVALID_INPUT", "message": str(e)}}, [], ["schema"]).line(), artifacts.INPUT_ERROR
+        line = failed("INVALID_INPUT", str(e), "schema")
     except Exception as e:  # the protocol promises one line whatever happens
-        line, code = artifacts.Envelope(a.command, "error", run, {"error": {"code": "INTERNAL_ERROR", "message": str(e)[:2000]}}, [], ["doctor"]).line(), artifacts.INTERNAL_ERROR
+        line, code = failed("INTERNAL_ERROR", str(e)[:2000], "doctor"), artifacts.INTERNAL_ERROR
     sys.stdout.write(line)
     return code
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,17 +51,35 @@ def reprice(result: DataFrame, roundtrip_cost: float) -> DataFrame:
 
 
 def rank_correlations(values: DataFrame, names: list[str]) -> DataFrame:
-    """(left, right, n, correlation) of the percentile ranks of every pair of factor columns of ``values`` (code, date, ...)."""
-    ranks = values.withColumns({f"_{n}": _percentile_rank(n) for n in names})
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    stats = []
-    for a, b in pairs:
-        both = F.col(f"_{a}").isNotNull() & F.col(f"_{b}").isNotNull()
-        x, y = F.when(both, F.col(f"_{a}")), F.when(both, F.col(f"_{b}"))
-        stats.append(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.count(x).alias("n"), F.covar_pop(x, y).alias("c"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy")))
-    rows = ranks.agg(F.array(*stats).alias("s")).select(F.explode("s").alias("s")).select("s.*")
-    some = (F.col("n") >= 3) & (F.col("sx") > 0) & (F.col("sy") > 0)
-    return rows.select("left", "right", "n", (F.col("c") / F.when(some, F.col("sx") * F.col("sy"))).alias("correlation"))
+    """(left, right, n, correlation) of the percentile ranks of every pair of factor columns of ``values`` (code, date, ...).
+
+    A row a pair and partition is shuffled, whatever the number of rows; the plan does not grow with the pairs.
+    """
+    names = list(names)
+    ranks = values.select(*[_percentile_rank(n).alias(f"r{i}") for i, n in enumerate(names)])
+    schema = "i int, j int, n bigint, x double, y double, xx double, yy double, xy double"
+
+    def gram(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        """Sums over the rows of a partition on which both columns have a value, for all pairs at once: products of matrices."""
+        k = len(names)
+        both, one, square, cross = (np.zeros((k, k)) for _ in range(4))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float) if batch.num_rows else np.empty((0, k))
+            there = (~np.isnan(x)).astype(float)
+            x = np.where(there > 0, x - 0.5, 0.0)  # about their mean, so that little is lost in the differences below
+            both += there.T @ there
+            one += x.T @ there
+            square += (x * x).T @ there
+            cross += x.T @ x
+        i, j = np.triu_indices(k, 1)
+        columns = [i.astype(np.int32), j.astype(np.int32), both[i, j].astype(np.int64), one[i, j], one[j, i], square[i, j], square[j, i], cross[i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+    pairs = ranks.mapInArrow(gram, schema).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    sx, sy = F.col("xx") - F.col("x") * F.col("x") / F.col("n"), F.col("yy") - F.col("y") * F.col("y") / F.col("n")
+    some = (F.col("n") >= 3) & (sx > 1e-12) & (sy > 1e-12)
+    name = F.array(*[F.lit(n) for n in names])
+    return pairs.select(name[F.col("i")].alias("left"), name[F.col("j")].alias("right"), "n", ((F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.when(some, F.sqrt(sx) * F.sqrt(sy))).alias("correlation"))
 
 
 def _percentile_rank(name: str):

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.series import newey_west
-from ..operators.windows import average_rank, day, path
+from ..operators.windows import average_rank, centred_rank, day, path, rank_correlation
 
 
 def asset_return(entry: Column, leave: Column) -> Column:
@@ -47,12 +47,10 @@ def rank_ic_by_date(book: DataFrame, horizon: int, start: str | None = None, end
 
 
 def correlation_by_date(rows: DataFrame, x: str, y: str, name: str) -> DataFrame:
-    """(date, name, n): correlation of the two average ranks of each date."""
+    """(date, name, n): correlation of the two average ranks of each date, from whole numbers: a correlation of zero is exactly zero."""
     n = F.count("*").over(day())
-    ranks = rows.withColumns({"_a": average_rank(F.col(x), day(), n), "_b": average_rank(F.col(y), day(), n)})
-    g = ranks.groupBy("date").agg(F.count("*").alias("n"), F.covar_pop("_a", "_b").alias("_ab"), F.stddev_pop("_a").alias("_sa"), F.stddev_pop("_b").alias("_sb"))
-    some = (F.col("n") >= 2) & (F.col("_sa") > 1e-12) & (F.col("_sb") > 1e-12)
-    return g.select("date", (F.col("_ab") / F.when(some, F.col("_sa") * F.col("_sb"))).alias(name), "n").filter(F.col(name).isNotNull())
+    ranks = rows.withColumns({"_a": centred_rank(F.col(x), day(), n), "_b": centred_rank(F.col(y), day(), n)})
+    return ranks.groupBy("date").agg(rank_correlation(F.col("_a"), F.col("_b")).alias(name), F.count("*").alias("n")).filter(F.col(name).isNotNull())
 
 
 def rank_ic_summary(by_date: DataFrame) -> DataFrame:
@@ -93,19 +91,18 @@ def trace(book: DataFrame, direction: str) -> DataFrame:
     both = F.when(scored & F.col("_ret").isNotNull(), F.lit(True))
     ranks = rows.withColumn("_b", both)
     n = F.count("_b").over(day())
-    ranks = ranks.withColumns({"_ra": average_rank(F.when(F.col("_b"), F.col("_s")), day(), n), "_rb": average_rank(F.when(F.col("_b"), F.col("_ret")), day(), n)})
+    ranks = ranks.withColumns({"_ra": centred_rank(F.when(F.col("_b"), F.col("_s")), day(), n), "_rb": centred_rank(F.when(F.col("_b"), F.col("_ret")), day(), n)})
     q = {i: F.avg(F.when(F.col("_q") == i, F.col("_ret"))) for i in range(1, 6)}
     union = F.count_if(F.col("_top") | F.coalesce("_top0", F.lit(False)))
     g = ranks.groupBy("date").agg(
         F.min("pos").alias("_p"), F.min("_d1").alias("entry_date"), F.min("_d2").alias("exit_date"), F.count_if("eligible").alias("eligible_count"), F.count_if(scored).alias("scored_count"),
-        F.sum(F.abs("weight")).alias("gross_exposure"), F.covar_pop("_ra", "_rb").alias("_ab"), F.stddev_pop("_ra").alias("_sa"), F.stddev_pop("_rb").alias("_sb"), F.count("_b").alias("rank_ic_count"),
+        F.sum(F.abs("weight")).alias("gross_exposure"), rank_correlation(F.col("_ra"), F.col("_rb")).alias("rank_ic"), F.count("_b").alias("rank_ic_count"),
         held_return(F.col("weight"), F.col("_ret")).alias("factor_return"), held_return(F.col("weight"), F.col("_day")).alias("intraday_return"), held_return(F.col("weight"), F.col("_night")).alias("overnight_return"),
         (F.sum(F.abs(F.col("weight") - F.col("_w0"))) * 0.5).alias("target_weight_turnover"), union.alias("_u"), F.count_if(F.col("_top") & F.coalesce("_top0", F.lit(False))).alias("_i"), *[q[i].alias(f"q{i}_return") for i in range(1, 6)],
     )
-    some = (F.col("rank_ic_count") >= 2) & (F.col("_sa") > 1e-12) & (F.col("_sb") > 1e-12)
     return g.select(
         F.col("date").alias("signal_date"), "entry_date", "exit_date", "eligible_count", "scored_count", (F.col("scored_count") / F.when(F.col("eligible_count") > 0, F.col("eligible_count"))).alias("coverage"), "gross_exposure",
-        (F.col("_ab") / F.when(some, F.col("_sa") * F.col("_sb"))).alias("rank_ic"), "rank_ic_count", "factor_return", "intraday_return", "overnight_return", "target_weight_turnover",
+        "rank_ic", "rank_ic_count", "factor_return", "intraday_return", "overnight_return", "target_weight_turnover",
         F.when(F.col("_p") > 0, F.when(F.col("_u") > 0, 1 - F.col("_i") / F.when(F.col("_u") > 0, F.col("_u"))).otherwise(0.0)).alias("top20_membership_turnover"),
         F.col("q5_return").alias("top20_return"), F.col("q1_return").alias("bottom20_return"), (F.col("q5_return") - F.col("q1_return")).alias("top_bottom_return"), *[f"q{i}_return" for i in range(1, 6)],
     )
@@ -129,10 +126,8 @@ def horizon_curve(book: DataFrame, direction: str, horizons: list[int]) -> DataF
     by = Window.partitionBy("horizon", "date")
     ranks = rows.withColumn("_b", both)
     n = F.count("_b").over(by)
-    ranks = ranks.withColumns({"_ra": average_rank(F.when(F.col("_b"), F.col("_s")), by, n), "_rb": average_rank(F.when(F.col("_b"), F.col("fwd")), by, n)})
-    g = ranks.groupBy("horizon", "previous", "date").agg(held_return(F.col("weight"), F.col("fwd")).alias("payoff"), held_return(F.col("weight"), F.col("inc")).alias("increment"), F.covar_pop("_ra", "_rb").alias("_ab"), F.stddev_pop("_ra").alias("_sa"), F.stddev_pop("_rb").alias("_sb"), F.count("_b").alias("n"))
-    some = (F.col("n") >= 2) & (F.col("_sa") > 1e-12) & (F.col("_sb") > 1e-12)
-    daily = g.withColumn("ic", F.col("_ab") / F.when(some, F.col("_sa") * F.col("_sb")))
+    ranks = ranks.withColumns({"_ra": centred_rank(F.when(F.col("_b"), F.col("_s")), by, n), "_rb": centred_rank(F.when(F.col("_b"), F.col("fwd")), by, n)})
+    daily = ranks.groupBy("horizon", "previous", "date").agg(held_return(F.col("weight"), F.col("fwd")).alias("payoff"), held_return(F.col("weight"), F.col("inc")).alias("increment"), rank_correlation(F.col("_ra"), F.col("_rb")).alias("ic"), F.count("_b").alias("n"))
     out = daily.groupBy("horizon").agg(
         F.min("previous").alias("previous_horizon"), F.avg("payoff").alias("payoff_mean"), F.avg("ic").alias("rank_ic_mean"), F.avg((F.col("payoff") > 0).cast("double")).alias("positive_payoff_ratio"),
         F.avg("n").alias("average_cross_section_count"), F.avg("increment").alias("incremental_payoff_mean"),
@@ -142,18 +137,18 @@ def horizon_curve(book: DataFrame, direction: str, horizons: list[int]) -> DataF
     return out
 
 
-def horizon_diagnostics(rows: list[dict]) -> dict[str, int | None]:
-    """From the few rows of a horizon curve: the strongest horizon, the first reversal, the first increment that is not positive."""
-    known = [r for r in sorted(rows, key=lambda r: r["horizon"]) if r["payoff_mean"] is not None]
-    sign = lambda v: (v > 0) - (v < 0)
-    if not known:
-        return {"strongest_absolute_horizon": None, "first_reversal_horizon": None, "first_nonpositive_increment_horizon": None}
-    first = sign(known[0]["payoff_mean"])
-    return {
-        "strongest_absolute_horizon": max(known, key=lambda r: abs(r["payoff_mean"]))["horizon"],
-        "first_reversal_horizon": next((r["horizon"] for r in known[1:] if sign(r["payoff_mean"]) not in (0, first)), None),
-        "first_nonpositive_increment_horizon": next((r["horizon"] for r in known if r["incremental_payoff_mean"] is not None and r["incremental_payoff_mean"] <= 0), None),
-    }
+def horizon_diagnostics(curve: DataFrame) -> DataFrame:
+    """One row about a horizon curve: where the mean payoff is largest in size, where it first has the other sign than at the
+    shortest horizon, and where the added payoff is first not positive. Horizons without a payoff do not count."""
+    known = curve.filter(F.col("payoff_mean").isNotNull())
+    order = Window.orderBy("horizon").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # a row a horizon
+    start = F.signum(F.first("payoff_mean").over(order))
+    marked = known.withColumns({"_turned": (F.signum("payoff_mean") != 0) & (F.signum("payoff_mean") != start), "_flat": F.col("incremental_payoff_mean") <= 0})
+    return marked.agg(
+        F.max_by("horizon", F.struct(F.abs("payoff_mean"), -F.col("horizon"))).alias("strongest_absolute_horizon"),
+        F.min(F.when(F.col("_turned"), F.col("horizon"))).alias("first_reversal_horizon"),
+        F.min(F.when(F.col("_flat"), F.col("horizon"))).alias("first_nonpositive_increment_horizon"),
+    )
 
 
 def coverage_by_date(book: DataFrame) -> DataFrame:
@@ -164,9 +159,9 @@ def coverage_by_date(book: DataFrame) -> DataFrame:
 def extreme_share(trace_rows: DataFrame, value: str = "factor_return", n: int = 10) -> DataFrame:
     """Share of the ``n`` largest absolute returns in the sum of all."""
     x = trace_rows.filter(F.col(value).isNotNull()).select(F.abs(value).alias("x"))
-    top = x.orderBy(F.desc("x")).limit(n).agg(F.sum("x").alias("t"))
-    total = x.agg(F.sum("x").alias("s"))
-    return top.join(F.broadcast(total)).select((F.col("t") / F.when(F.col("s") > 0, F.col("s"))).alias("extreme_abs_return_top10_share"))
+    top = x.orderBy(F.desc("x")).limit(n).agg(F.sum("x").alias("t"))  # one row, like the total: their product is one row
+    both = top.crossJoin(x.agg(F.sum("x").alias("s")))
+    return both.select((F.col("t") / F.when(F.col("s") > 0, F.col("s"))).alias("extreme_abs_return_top10_share"))
 
 
 def monotonicity(quintile_means: list[float | None]) -> float | None:

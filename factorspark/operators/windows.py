@@ -46,3 +46,19 @@ def average_rank(key: Column, window, n: Column) -> Column:
     ties = F.count(key).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
     rank = F.rank().over(ordered) + (ties - 1) / F.lit(2.0) - 1
     return F.when(key.isNull(), None).when(n == 1, 0.5).otherwise(rank / F.when(n > 1, n - 1))
+
+
+def centred_rank(key: Column, window, n: Column) -> Column:
+    """Twice the average rank less twice its mean, among the ``n`` keys of a window that are not null: a whole number.
+
+    Sums of such ranks and of their products are exact, whatever the order in which rows are added up.
+    """
+    ordered = window.orderBy(key.asc_nulls_last())
+    ties = F.count(key).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(key.isNotNull(), 2 * F.rank().over(ordered).cast("bigint") + ties - n - 2)
+
+
+def rank_correlation(a: Column, b: Column) -> Column:
+    """Correlation of two ``centred_rank`` columns as an aggregate; missing for under two rows or a side that is all alike."""
+    squares = F.sqrt(F.sum(a * a).cast("double")) * F.sqrt(F.sum(b * b).cast("double"))
+    return F.sum(a * b).cast("double") / F.when(squares > 0, squares)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from .evaluation import audits, cheap, measure, screen, targets
 from .evaluation.portfolio import Scenario, excess, returns, run
 from .functions import series
 from .queries import D, L, PANEL_SQL, register
+from .queries_portfolio import walk_sql
 
 BOOK = f"""b0 AS (SELECT *, lag(close, 3) OVER {L} AS d FROM p),
 b AS (SELECT code, date, pos, open, close, u AS eligible, CASE WHEN u THEN -(close / CASE WHEN abs(d) > 1e-12 THEN d END - 1) END AS score,
@@ -32,10 +35,19 @@ def _rounded(df: DataFrame, digits: int = 8, *exact: str) -> DataFrame:
     return df.select(*[(F.round(c, digits) + 0.0).alias(c) if kinds[c] == "double" and c not in exact else F.col(c) for c in df.columns])
 
 
+def centred_sql(x: str, part: str = "date") -> str:
+    """Twice the average rank less twice its mean, among the rows that have a value: a whole number."""
+    return f"CASE WHEN {x} IS NOT NULL THEN 2 * rank() OVER (PARTITION BY {part} ORDER BY {x} NULLS LAST) + count(*) OVER (PARTITION BY {part}, {x}) - count({x}) OVER (PARTITION BY {part}) - 2 END"
+
+
+def corr_sql(a: str, b: str) -> str:
+    return f"CASE WHEN sum({a} * {a}) > 0 AND sum({b} * {b}) > 0 THEN sum({a} * {b})::DOUBLE / (sqrt(sum({a} * {a})::DOUBLE) * sqrt(sum({b} * {b})::DOUBLE)) END"
+
+
 IC = f"""x AS (SELECT *, lead(open, 1) OVER {L} AS o1, lead(open, 6) OVER {L} AS o2, lead(date, 6) OVER {L} AS ex FROM b),
 y AS (SELECT date, score, o2 / o1 - 1 AS r FROM x WHERE eligible AND score IS NOT NULL AND o1 > 0 AND o2 > 0),
-z AS (SELECT date, {rank_sql('score')} AS a, {rank_sql('r')} AS c FROM y),
-ic AS (SELECT date, corr(a, c) AS rank_ic, count(*) AS n FROM z GROUP BY date HAVING count(*) >= 2 AND stddev_pop(a) > 1e-12 AND stddev_pop(c) > 1e-12)"""
+z AS (SELECT date, {centred_sql('score')} AS a, {centred_sql('r')} AS c FROM y),
+ic AS (SELECT * FROM (SELECT date, {corr_sql('a', 'c')} AS rank_ic, count(*) AS n FROM z GROUP BY date) WHERE rank_ic IS NOT NULL)"""
 
 
 @register("eval_rank_ic", f"{HEAD}, {IC} SELECT date, round(rank_ic, 8) + 0.0 AS rank_ic, n FROM ic")
@@ -75,7 +87,7 @@ ta AS (SELECT *, lead(open, 1) OVER {L} AS o1, lead(open, 2) OVER {L} AS o2, lea
 tb AS (SELECT *, {ret_sql('o1', 'o2')} AS r, {ret_sql('o1', 'c1')} AS ri, {ret_sql('c1', 'o2')} AS ro, CASE WHEN s IS NOT NULL AND ns >= 5 THEN ntile(5) OVER (PARTITION BY date, s IS NOT NULL ORDER BY s, code) END AS q FROM ta),
 tc AS (SELECT *, coalesce(q = 5, false) AS top FROM tb), td AS (SELECT *, coalesce(lag(top) OVER {L}, false) AS top0 FROM tc),
 te AS (SELECT *, CASE WHEN s IS NOT NULL AND r IS NOT NULL THEN s END AS sx, CASE WHEN s IS NOT NULL AND r IS NOT NULL THEN r END AS rx FROM td WHERE d2 IS NOT NULL),
-tf AS (SELECT *, {rank_sql('sx')} AS ra, {rank_sql('rx')} AS rb FROM te)"""
+tf AS (SELECT *, {centred_sql('sx')} AS ra, {centred_sql('rx')} AS rb FROM te)"""
 
 
 def held_sql(r: str) -> str:
@@ -85,7 +97,7 @@ def held_sql(r: str) -> str:
 _Q = ", ".join(f"round(avg(r) FILTER (q = {i}), 8) + 0.0 AS q{i}_return" for i in range(1, 6))
 TRACE_SELECT = f"""SELECT date AS signal_date, min(d1) AS entry_date, min(d2) AS exit_date, count(*) FILTER (eligible) AS eligible_count, count(s) AS scored_count,
  round(count(s) / CASE WHEN count(*) FILTER (eligible) > 0 THEN count(*) FILTER (eligible)::DOUBLE END, 8) AS coverage, round(sum(abs(w)), 8) AS gross_exposure,
- round(CASE WHEN count(sx) >= 2 AND stddev_pop(ra) > 1e-12 AND stddev_pop(rb) > 1e-12 THEN covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop(rb)) END, 8) + 0.0 AS rank_ic, count(sx) AS rank_ic_count,
+ round({corr_sql('ra', 'rb')}, 8) + 0.0 AS rank_ic, count(sx) AS rank_ic_count,
  round({held_sql('r')}, 8) + 0.0 AS factor_return, round({held_sql('ri')}, 8) + 0.0 AS intraday_return, round({held_sql('ro')}, 8) + 0.0 AS overnight_return,
  round(sum(abs(w - w0)) * 0.5, 8) AS target_weight_turnover,
  round(CASE WHEN min(pos) > 0 THEN CASE WHEN count(*) FILTER (top OR top0) > 0 THEN 1 - count(*) FILTER (top AND top0) / (count(*) FILTER (top OR top0))::DOUBLE ELSE 0 END END, 8) AS top20_membership_turnover,
@@ -173,8 +185,8 @@ _CURVE = " UNION ALL ".join(f"SELECT {h} AS horizon, {p} AS prev, date, w, s, {r
 
 @register("eval_horizon_curve", f"""{HEAD}, {WEIGHTS}, ha AS (SELECT *, {', '.join(f'lead(open, {1 + k}) OVER {L} AS o{k}, lead(date, {1 + k}) OVER {L} AS x{k}' for k in (0, *_H))} FROM wt), hb AS ({_CURVE}),
 hc AS (SELECT *, CASE WHEN s IS NOT NULL AND fwd IS NOT NULL THEN s END AS sx, CASE WHEN s IS NOT NULL AND fwd IS NOT NULL THEN fwd END AS fx FROM hb),
-hd AS (SELECT *, {rank_sql('sx', 'horizon, date')} AS ra, {rank_sql('fx', 'horizon, date')} AS rb FROM hc),
-he AS (SELECT horizon, prev, date, {held_sql('fwd')} AS payoff, {held_sql('inc')} AS increment, CASE WHEN count(sx) >= 2 AND stddev_pop(ra) > 1e-12 AND stddev_pop(rb) > 1e-12 THEN covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop(rb)) END AS ic, count(sx) AS n FROM hd GROUP BY 1, 2, 3),
+hd AS (SELECT *, {centred_sql('sx', 'horizon, date')} AS ra, {centred_sql('fx', 'horizon, date')} AS rb FROM hc),
+he AS (SELECT horizon, prev, date, {held_sql('fwd')} AS payoff, {held_sql('inc')} AS increment, {corr_sql('ra', 'rb')} AS ic, count(sx) AS n FROM hd GROUP BY 1, 2, 3),
 {newey_sql('payoff', 'he', 'horizon')}
 SELECT he.horizon, min(prev) AS previous_horizon, round(avg(payoff), 8) AS payoff_mean, round(avg(ic), 8) AS rank_ic_mean, round(avg(CASE WHEN payoff > 0 THEN 1.0::DOUBLE WHEN payoff IS NOT NULL THEN 0 END), 8) AS positive_payoff_ratio, round(avg(n), 8) AS average_cross_section_count, round(avg(increment), 8) AS incremental_payoff_mean, round(min(nw.t), 6) AS payoff_hac_t_stat
 FROM he LEFT JOIN nw ON nw.horizon = he.horizon GROUP BY 1""")
@@ -244,12 +256,6 @@ def reprice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(cheap.reprice(_cheap(spark, sf_dir), 0.01).select("date", "net"))
 
 
-@register("eval_variant_choice", "SELECT 'high' AS direction, 5 AS horizon")
-def variant_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = screen.choose_variant([screen.Variant(d, h, s, c, n) for d, h, s, c, n in (("high", 5, 1.0, 0.9, 500), ("low", 5, 1.0, 0.9, 500), ("high", 20, 1.0, 0.9, 500), ("low", 60, 3.0, 0.5, 500), ("high", 60, 2.0, 0.9, 10))], 0.7, 400)
-    return spark.createDataFrame([(v.direction, v.horizon)], "direction string, horizon int")
-
-
 # Portfolios. Without costs and with everything tradable one sleeve has a closed form.
 
 
@@ -275,22 +281,26 @@ def _scenarios() -> list[Scenario]:
     ]
 
 
-@register("portfolio_costs")
+def _walked(scenarios: list[Scenario]) -> str:
+    return f"{HEAD.replace('WITH', 'WITH RECURSIVE', 1)},{walk_sql(scenarios)}"
+
+
+@register("portfolio_costs", f"{_walked(_scenarios())} SELECT name AS scenario, date, round(gross, 8) + 0.0 AS gross, round(net, 8) + 0.0 AS net FROM nv")
 def portfolio_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven scenarios in one job: costs, directions, sleeves, formations, bands, with blocked trades."""
     return _rounded(returns(run(t.book(spark, sf_dir), _scenarios())))
 
 
-@register("portfolio_events")
+@register("portfolio_events", f"""{_walked(_scenarios()[:1])} SELECT dy.date, CASE WHEN stuck OR unfilled > 0 THEN 'partial_fill' WHEN filled = 0 THEN 'cash' WHEN buys + sells <= 1e-15 THEN 'retained' ELSE 'filled' END AS status,
+ round(buys, 8) + 0.0 AS buy_notional, round(sells, 8) + 0.0 AS sell_notional, CAST(unfilled AS INTEGER) AS cash_slots FROM wk JOIN dy ON dy.pos = wk.pos WHERE due""")
 def portfolio_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from dataclasses import replace
-
     got = run(t.book(spark, sf_dir), [replace(_scenarios()[0], events=True)]).filter("kind = 'event'")
     field = lambda n: F.get_json_object("payload", f"$.{n}")
-    return got.select("date", field("status").alias("status"), field("buy_notional").cast("double").alias("buy_notional"), field("sell_notional").cast("double").alias("sell_notional"), field("cash_slots").cast("int").alias("cash_slots"))
+    return _rounded(got.select("date", field("status").alias("status"), field("buy_notional").cast("double").alias("buy_notional"), field("sell_notional").cast("double").alias("sell_notional"), field("cash_slots").cast("int").alias("cash_slots")))
 
 
-@register("portfolio_staggered")
+@register("portfolio_staggered", f"""{_walked([s for s in _scenarios() if s.name in ("plain", "all")])} SELECT a.name AS scenario, a.date, round(a.net, 8) + 0.0 AS strategy, round(o.net, 8) + 0.0 AS benchmark, round((1 + a.net) / (1 + o.net) - 1, 8) + 0.0 AS excess
+ FROM nv a JOIN nv o ON o.date = a.date AND a.name = 'plain' AND o.name = 'all'""")
 def portfolio_staggered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strategy against the equal-weighted universe."""
     got = run(t.book(spark, sf_dir), [s for s in _scenarios() if s.name in ("plain", "all")])
@@ -301,7 +311,28 @@ def _policy() -> screen.Policy:
     return screen.Policy((_day(12), _day(40)), (_day(41), _day(70)), horizons=(1, 3), minimum_coverage=0.5, minimum_periods=12)
 
 
-@register("screen")
+def _studied(windows: dict[str, tuple[int, int]], costs: dict[str, tuple[float, float]]) -> str:
+    """CTE ex: (label, cost, dir, horizon, n, sharpe, total, cover) of the excess returns of both directions and both horizons, over
+    windows of months [first, last], each with the warm-up that its horizon needs."""
+    made = [
+        Scenario(f"{label}|{cost}|{d}|{h}", _day(a - h), _day(b), direction="low" if d == "low" else "high", horizon=h, buy_cost=c[0], sell_cost=c[1], score_start=_day(a), score_end=_day(b), top_fraction=1.0 if d == "all" else 0.2, benchmark=d == "all")
+        for label, (a, b) in windows.items() for cost, c in costs.items() for h in (1, 3) for d in ("high", "low", "all")
+    ]
+    return f"""{_walked(made)},
+xr AS (SELECT *, string_split(name, '|') AS part FROM nv), xe AS (SELECT a.part[1] AS label, a.part[2] AS cost, a.part[3] AS dir, a.part[4]::INTEGER AS horizon, a.date, (1 + a.net) / (1 + o.net) - 1 AS e
+ FROM xr a JOIN xr o ON o.part[3] = 'all' AND a.part[3] <> 'all' AND o.part[1] = a.part[1] AND o.part[2] = a.part[2] AND o.part[4] = a.part[4] AND o.date = a.date),
+cv AS (SELECT string_split(pl.name, '|') AS part, avg(pl.cover) AS cover FROM pl JOIN sp ON sp.name = pl.name JOIN dy ON dy.pos = pl.pos WHERE due AND pl.pos < last AND dy.date BETWEEN slo AND shi GROUP BY pl.name),
+ex AS (SELECT xe.*, cover FROM (SELECT label, cost, dir, horizon, count(*) AS n, CASE WHEN stddev_pop(e) > 1e-15 THEN avg(e) / stddev_pop(e) * sqrt(252) ELSE 0 END AS sharpe, product(1 + e) - 1 AS total FROM xe GROUP BY 1, 2, 3, 4) xe
+ JOIN cv ON cv.part[1] = label AND cv.part[2] = cost AND cv.part[3] = dir AND cv.part[4]::INTEGER = horizon)"""
+
+
+def _best(label: str) -> str:
+    """The variant that the discovery window ``label`` chooses."""
+    return f"(SELECT label, dir, horizon FROM ex WHERE {label} AND cost = 'stress' AND n >= 12 AND cover >= 0.5 QUALIFY row_number() OVER (PARTITION BY label ORDER BY sharpe DESC, horizon, dir = 'high' DESC) = 1)"
+
+
+@register("screen", f"""{_studied({"discovery": (12, 40), "validation": (41, 70)}, {"real": (0.0003, 0.0012), "stress": (0.0005, 0.0020)})} SELECT ex.label AS segment, cost, ex.dir AS direction, ex.horizon, round(sharpe, 6) + 0.0 AS sharpe, round(total, 6) + 0.0 AS total_return
+ FROM ex JOIN {_best("label = 'discovery'")} c ON c.dir = ex.dir AND c.horizon = ex.horizon""")
 def screen_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Discovery over directions and horizons, then validation of the chosen variant."""
     got = screen.screen(t.book(spark, sf_dir).persist(), _policy())
@@ -309,28 +340,39 @@ def screen_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spark.createDataFrame(rows, "segment string, cost string, direction string, horizon int, sharpe double, total_return double"), 6)
 
 
-@register("rolling")
+_FOLDS = {f"f{k}:{part}": (a + 8 * k, b + 8 * k) for k in range(3) for part, (a, b) in {"train": (6, 30), "test": (31, 42)}.items()}
+
+
+@register("rolling", f"""{_studied(_FOLDS, {"stress": (0.0005, 0.0020)})}, ch AS (SELECT split_part(c.label, ':', 1) AS fold, c.dir, c.horizon, ex.sharpe FROM {_best("label LIKE '%:train'")} c JOIN ex ON ex.label = split_part(c.label, ':', 1) || ':test' AND ex.dir = c.dir AND ex.horizon = c.horizon)
+SELECT fold, dir AS direction, horizon, round(sharpe, 6) + 0.0 AS test_sharpe, CASE WHEN (SELECT count(*) FILTER (sharpe > 0) >= 2 AND median(sharpe) > 0 FROM ch) AND (SELECT max(n) FROM (SELECT count(*) AS n FROM ch GROUP BY dir)) >= 2 AND (SELECT max(n) FROM (SELECT count(*) AS n FROM ch GROUP BY horizon)) >= 2
+ THEN 'rolling_survivor' ELSE 'rejected_rolling' END AS status FROM ch""")
 def rolling_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three folds, all discovered in one job and confirmed in another, through the gate."""
     folds = [screen.Fold(f"f{k}", (_day(6 + 8 * k), _day(30 + 8 * k)), (_day(31 + 8 * k), _day(42 + 8 * k))) for k in range(3)]
-    got = screen.rolling(t.book(spark, sf_dir).persist(), folds, _policy(), stress_only=True)
-    verdict = screen.audit(got, screen.Gate(required_folds=3, minimum_positive_folds=2, minimum_direction_mode=2, minimum_horizon_mode=2))
-    rows = [(f["label"], f["direction"], f["horizon"], f["test"]["stress"]["excess_metrics"]["sharpe"], verdict["status"]) for f in got]
+    gate = screen.Gate(required_folds=3, minimum_positive_folds=2, minimum_direction_mode=2, minimum_horizon_mode=2)
+    got = screen.selection_null(t.book(spark, sf_dir).persist(), folds, _policy(), gate)
+    rows = [(f["label"], f["direction"], f["horizon"], f["test"]["stress"]["excess_metrics"]["sharpe"], got["summary"]["status"]) for f in got["folds"]]
     return _rounded(spark.createDataFrame(rows, "fold string, direction string, horizon int, test_sharpe double, status string"), 6)
 
 
-@register("rolling_gate", "SELECT * FROM (VALUES ('rolling_survivor', 3, 2), ('rejected_rolling', 2, 1), ('invalid_evidence', -1, -1)) v(status, positive_folds, episodes)")
-def rolling_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def fold(sharpe: float, direction: str = "high") -> dict:
-        m = {"stress": {"excess_metrics": {"sharpe": sharpe, "total_return": sharpe / 10}}}
-        return {"label": "x", "direction": direction, "horizon": 5, "train": m, "test": m}
+_YEARLY = f"""ys AS (SELECT CAST(year(signal_date) AS INTEGER) AS y, avg(factor_return) / stddev_pop(factor_return) AS sh, product(1 + factor_return) - 1 AS g FROM ({TRACE_SELECT}) WHERE factor_return IS NOT NULL GROUP BY 1),
+fo AS (SELECT y AS place, CASE WHEN lag(sh) OVER (ORDER BY y) >= 0 THEN 'high' ELSE 'low' END AS direction, 1 + y % 2 AS horizon, lag(sh) OVER (ORDER BY y) AS train, sh AS test, g AS growth FROM ys QUALIFY lag(sh) OVER (ORDER BY y) IS NOT NULL)"""
 
-    cases = [[1.0, 0.5, -1.0, 0.2, -0.1], [1.0, 1.0, -1.0, -0.2, -0.1], [1.0]]
-    rows = []
-    for c in cases:
-        v = screen.audit([fold(x) for x in c])
-        rows.append((v["status"], v.get("positive_folds", -1), v["research_profile"]["temporal_profile"]["positive_sharpe_episode_count"] if "research_profile" in v else -1))
-    return spark.createDataFrame(rows, "status string, positive_folds int, episodes int")
+
+@register("rolling_gate", f"""{HEAD}, {TRACE}, {_YEARLY}, ep AS (SELECT e, count(*) AS n FROM (SELECT test, row_number() OVER (ORDER BY place) - row_number() OVER (PARTITION BY test > 0 ORDER BY place) AS e FROM fo) WHERE test > 0 GROUP BY 1),
+gt AS (SELECT count(*) AS folds, count(*) FILTER (test > 0) AS positive_folds, median(test) AS m, median(train) AS tr, product(1 + growth) - 1 AS c, (SELECT max(n) FROM (SELECT count(*) AS n FROM fo GROUP BY direction)) AS direction_mode_count,
+ (SELECT max(n) FROM (SELECT count(*) AS n FROM fo GROUP BY horizon)) AS horizon_mode_count, (SELECT count(*) FROM ep) AS episodes, (SELECT coalesce(max(n), 0) FROM ep) AS streak FROM fo)
+SELECT CASE WHEN folds <> 6 THEN 'invalid_evidence' WHEN positive_folds < 3 OR m <= 0 OR direction_mode_count < 3 OR horizon_mode_count < 3 THEN 'rejected_rolling' ELSE 'rolling_survivor' END AS status, positive_folds, round(m, 6) + 0.0 AS median_test, round(tr, 6) + 0.0 AS median_train,
+ direction_mode_count, horizon_mode_count, episodes, streak, round(c, 6) + 0.0 AS compounded FROM gt""")
+def rolling_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate over folds of a year: the factor's return a year after the one that gave its direction."""
+    daily = measure.trace(t.book(spark, sf_dir), "high").filter("factor_return IS NOT NULL").select(F.year("signal_date").alias("place"), "factor_return")
+    year = daily.groupBy("place").agg((F.avg("factor_return") / F.stddev_pop("factor_return")).alias("test"), (F.product(1 + F.col("factor_return")) - 1).alias("growth"))
+    folds = year.withColumn("train", F.lag("test").over(Window.orderBy("place"))).filter("train IS NOT NULL")  # a row a year
+    rows = folds.select("place", F.col("place").cast("string").alias("label"), F.when(F.col("train") >= 0, "high").otherwise("low").alias("direction"), (1 + F.col("place") % 2).alias("horizon"), "train", "test", "growth")
+    got = screen.gate_report(rows, screen.Gate(required_folds=6))
+    return _rounded(got.select("status", "positive_folds", F.col("median_test_excess_sharpe").alias("median_test"), F.col("median_train_excess_sharpe").alias("median_train"), "direction_mode_count", "horizon_mode_count",
+                               F.col("positive_sharpe_episode_count").alias("episodes"), F.col("maximum_positive_sharpe_streak").alias("streak"), F.col("compounded_oos_excess_total_return").alias("compounded")), 6)
 
 
 _FACTORS = {"a": "cs_rank(close)", "b": "neg(cs_rank(close))", "c": "cs_zscore(volume)", "d": "cs_rank(ts_pct_change(close,3))"}
@@ -359,7 +401,9 @@ def rank_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(cheap.rank_correlations(_factors(spark, sf_dir), list(_FACTORS)), 6)
 
 
-@register("rank_cluster", "SELECT * FROM (VALUES ('a', 'cluster_0000'), ('b', 'cluster_0000'), ('c', 'cluster_0001'), ('d', 'cluster_0002')) v(factor, cluster)")
+@register("rank_cluster", f"""WITH RECURSIVE pr AS ({_PAIRED}), ed AS (SELECT "left" AS x, "right" AS y FROM pr WHERE abs(correlation) >= 0.9 UNION SELECT "right", "left" FROM pr WHERE abs(correlation) >= 0.9),
+nd(x) AS (VALUES ('a'), ('b'), ('c'), ('d')), re AS (SELECT x, x AS r FROM nd UNION SELECT ed.y, re.r FROM re JOIN ed ON ed.x = re.x), rt AS (SELECT x, min(r) AS r FROM re GROUP BY 1)
+SELECT x AS factor, 'cluster_' || lpad((dense_rank() OVER (ORDER BY r) - 1)::VARCHAR, 4, '0') AS cluster FROM rt""")
 def rank_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = cheap.clusters(_factors(spark, sf_dir), list(_FACTORS), 0.9)
     return spark.createDataFrame(sorted(got.items()), "factor string, cluster string")

@@ -114,7 +114,8 @@ def measure_factor(spark: SparkSession, job: str | Path, expression: str, direct
         trace.coalesce(1).write.mode("overwrite").parquet(str(folder / "trace.parquet"))
         measure.membership(book, direction).coalesce(1).write.mode("overwrite").parquet(str(folder / "membership.parquet"))
         dated = trace.withColumnRenamed("signal_date", "date")
-        curve = [r.asDict() for r in measure.horizon_curve(book, direction, list(horizons)).orderBy("horizon").collect()]  # a row a horizon
+        by_horizon = measure.horizon_curve(book, direction, list(horizons)).persist()
+        curve = [r.asDict() for r in by_horizon.orderBy("horizon").collect()]  # a row a horizon
         ic = dated.filter("rank_ic IS NOT NULL")
         quintiles = list(dated.agg(*[F.avg(f"q{i}_return") for i in range(1, 6)]).first())
         body = {
@@ -123,10 +124,11 @@ def measure_factor(spark: SparkSession, job: str | Path, expression: str, direct
             "rank_ic": ic.agg(F.count("*").alias("observations"), F.avg("rank_ic").alias("mean"), F.stddev_samp("rank_ic").alias("standard_deviation"), F.avg((F.col("rank_ic") > 0).cast("double")).alias("positive_ratio")).first().asDict() | series.newey_west(ic, [], "rank_ic").first().asDict(),
             "target_weight_turnover": series.distribution(dated, [], "target_weight_turnover").first().asDict(), "top20_membership_turnover": series.distribution(dated, [], "top20_membership_turnover").first().asDict(),
             "coverage": dated.agg(F.avg("coverage").alias("mean"), F.min("coverage").alias("minimum"), F.count("*").alias("calendar_days"), F.count("factor_return").alias("finite_calendar_return_days"), F.count_if(F.col("gross_exposure") > 0).alias("active_book_days")).first().asDict(),
-            "quintile_mean_daily_returns": quintiles, "quintile_monotonicity": measure.monotonicity(quintiles), **measure.extreme_share(dated).first().asDict(), "active_day_factor_return": _summary(dated.filter("gross_exposure > 0"), "factor_return"), "horizon_curve": curve, "horizon_diagnostics": measure.horizon_diagnostics(curve),
+            "quintile_mean_daily_returns": quintiles, "quintile_monotonicity": measure.monotonicity(quintiles), **measure.extreme_share(dated).first().asDict(), "active_day_factor_return": _summary(dated.filter("gross_exposure > 0"), "factor_return"), "horizon_curve": curve, "horizon_diagnostics": measure.horizon_diagnostics(by_horizon).first().asDict(),
             "rolling": {str(w): series.rolling_summary(dated, [], "factor_return", w).agg(F.count("rolling_sharpe").alias("observations"), F.min("rolling_sharpe").alias("minimum"), F.percentile("rolling_sharpe", F.lit(0.5)).alias("median"), F.max("rolling_sharpe").alias("maximum")).first().asDict() for w in windows},
             "yearly": [r.asDict() for r in series.return_summary(dated.withColumn("year", F.year("date")), ["year"], "factor_return").orderBy("year").collect()],
         }
+        by_horizon.unpersist()
         trace.unpersist()
     finally:
         book.unpersist()
@@ -140,7 +142,7 @@ def _evaluate(p: Prepared, panel: DataFrame, compiled, through: str, work: Path,
     upstream = job_identity
     stages = {"screen": lambda: screen.screen(book, p.job.policy)}
     if through == "rolling":
-        stages["rolling"] = lambda: {"folds": (folds := screen.rolling(book, list(p.job.folds), p.job.policy)), "summary": screen.audit(folds, p.job.gate)}
+        stages["rolling"] = lambda: {"folds": (folds := screen.rolling(book, list(p.job.folds), p.job.policy)), "summary": screen.audit(book.sparkSession, folds, p.job.gate)}
     for name, f in stages.items():
         own = identity([upstream, compiled.canonical, name])
         path = work / name / f"{own}.json"

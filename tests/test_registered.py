@@ -44,7 +44,7 @@ def test_query(spark, duck, name):
             assert u == v or (isinstance(u, float) and isinstance(v, float) and abs(u - v) <= 2e-5 * max(1, abs(u))), (x, y)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL) - {"screen", "rolling"}))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
 def test_query_without_sql_runs(spark, name):
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
 
