@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def _give_memory_back() -> None:
@@ -29,12 +30,15 @@ _give_memory_back()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver can reach: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder every executor and the driver can reach: spark.checkpoint.dir. Where it is unset, a folder of our own if all run
+    on this machine; a cluster must name one."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not (sc.master or "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(f"file://{tempfile.gettempdir()}/factorspark-checkpoints")
     return sc.getCheckpointDir().rstrip("/")
 
@@ -50,6 +54,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of an Arrow batch on its way to a worker, unless the session sets its own bound: a batch is held by the JVM's vectors, by its
+#: send buffer and by the worker at once, for each running task, and the memory allocators of the JVM keep what they had at most.
+BATCH_BYTES = 4 << 20
+_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` in batches of bounded bytes."""
+    conf = df.sparkSession.conf
+    if conf.get(_BOUND) == "67108864b":  # Spark's own default
+        conf.set(_BOUND, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """One output batch for each Arrow batch of ``df``; nothing is held between batches."""
 
@@ -58,7 +76,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def raw(text: str) -> bytes:

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_map
 from .words import hash_words, letters, mix
 
 #: Walks (hash tables), and samples of each.
@@ -312,7 +313,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
                         yield pa.RecordBatch.from_arrays([ids, pa.array([index.names[i] for i in item], item_arrow), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(edits, pa.int32())], names=["id", "item_id", "first_word", "n_words", "edits"])
 
         item_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
-        part = rows.mapInArrow(run, schema)
+        part = arrow_map(rows, run, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -333,5 +334,5 @@ def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
                     clean[[first + t for t, *_ in find(index, texts)]] = False
                 yield batch.filter(pa.array(clean))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = arrow_map(out, run, docs.schema)
     return out

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import arrow_map
 from .sampling import fold
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 12
@@ -32,6 +33,8 @@ EPOCHS, BATCH, RATE, SEED = 12, 128, 0.01, 5
 RANGE = 1 << 40
 #: Windows that are taken together at inference.
 TOGETHER = 256
+#: Slope of the rectifier below zero.
+LEAK = 0.01
 UNDETERMINED = "und"
 
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -51,6 +54,11 @@ def windows(text: str) -> tuple[np.ndarray, np.ndarray]:
     return out[letters > 0], letters[letters > 0]
 
 
+def rectified(x: np.ndarray) -> np.ndarray:
+    """What a filter passes on, in training and in use alike."""
+    return np.maximum(x, LEAK * x)
+
+
 class Net:
     def __init__(self, names: list[str], tables: list[np.ndarray], bias: np.ndarray, dense: np.ndarray, offset: np.ndarray):
         self.names, self.tables, self.bias, self.dense, self.offset = names, tables, bias, dense, offset
@@ -79,7 +87,7 @@ class Net:
                 elif width == 4:
                     total += own[1][pair[:, 2 : 2 + n]]
                 pooled.append(total.max(axis=1))
-            h = np.maximum(np.concatenate(pooled, axis=1) + self.bias, 0)
+            h = rectified(np.concatenate(pooled, axis=1) + self.bias)
             out.append(h @ self.dense + self.offset)
         return np.concatenate(out) if out else np.empty((0, len(self.names)))
 
@@ -104,19 +112,20 @@ def train(x: np.ndarray, y: np.ndarray, names: list[str]) -> Net:
                 where.append(best)
                 pooled.append(np.take_along_axis(total, best[:, None], 1)[:, 0])
             pre = np.concatenate(pooled, axis=1) + bias
-            h = np.maximum(pre, 0.01 * pre)
+            h = rectified(pre)
             z = h @ dense + offset
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(pick)), y[pick]] -= 1
             p /= len(pick)
-            dh = (p @ dense.T) * np.where(pre > 0, 1.0, 0.01)
+            dh = (p @ dense.T) * np.where(pre > 0, 1.0, LEAK)
             grads = []
             for k, (width, best) in enumerate(zip(WIDTHS, where, strict=True)):
                 g = np.zeros((width, 256, FILTERS))
                 own = dh[:, k * FILTERS : (k + 1) * FILTERS]
                 for i in range(width):
-                    np.add.at(g[i], (np.take_along_axis(part, best + i, 1), np.arange(FILTERS)[None]), own)
+                    at = np.take_along_axis(part, best + i, 1) * FILTERS + np.arange(FILTERS)
+                    g[i] = np.bincount(at.ravel(), own.ravel(), 256 * FILTERS).reshape(256, FILTERS)
                 grads.append(g)
             grads += [dh.sum(axis=0), h.T @ p, p.sum(axis=0)]
             for i, (param, g) in enumerate(zip(params, grads, strict=True)):
@@ -148,7 +157,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     x.append(own[k].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(l, pa.string()), pa.array(x, pa.binary())], names=["l", "x"])
 
-    got = texts.mapInArrow(run, "l string, x binary").toPandas().sort_values(["l", "x"])
+    got = arrow_map(texts, run, "l string, x binary").toPandas().sort_values(["l", "x"])
     if not len(got):
         return Net([], [], np.empty(0), np.empty((0, 0)), np.empty(0))
     names = sorted(got["l"].unique())
@@ -186,4 +195,4 @@ def predict(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["id", "lang", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, lang string, score double")
+    return arrow_map(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, f"id {kind}, lang string, score double")

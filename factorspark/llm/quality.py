@@ -1,14 +1,12 @@
 """Quality classifier from positive and unlabelled texts.
 
 Features of a whole text: shares of byte classes and of the class pairs that follow each other, how much words and lines
-repeat, and word lengths. The class prior of the unlabelled texts is estimated as the share of good ones among the labelled
-rows of the training folds, less one standard error; where the labels name good texts only, by best-bin estimation on held-back
-rows (the least ratio of unlabelled to positive mass above a score, with a confidence margin). The classifier is a small network trained in numpy on the non-negative unbiased risk of Kiryo et al.: with positives P, unlabelled U and prior p,
+repeat, and word lengths. The class prior of the unlabelled texts is estimated from them and the trusted positives alone, by best bin on
+held-back rows (the least ratio of unlabelled to positive mass above a score, with a confidence margin, less one standard error). The classifier is a small network trained in numpy on the non-negative unbiased risk of Kiryo et al.: with positives P, unlabelled U and prior p,
 
     p * loss(P, +) + max(0, loss(U, -) - p * loss(P, -))
 
-where a step whose second term has gone negative climbs it instead of descending. Labels of bad texts count towards the prior and are
-not learnt from.
+where a step whose second term has gone negative climbs it instead of descending. Labels of bad texts are not used at all.
 
 Bounds: at most ``POSITIVES`` trusted positives and ``UNLABELLED`` texts are fitted (the least hashes of their ids); every
 text is scored. Defined results: null or empty text scores 0 (it has no content to vouch for); with no positives or no
@@ -26,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_map
 from .sampling import first_by_hash, fold
 
 #: Rows that are fitted at most.
@@ -109,7 +108,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed:
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Best-bin estimate of the share of good texts among the unlabelled, from scores of rows the scorer was not fitted on."""
+    """Best-bin estimate of the share of good texts among the unlabelled, from scores of rows the scorer was not fitted on.
+
+    The ratio bounds the share from above, so one standard error is taken off.
+    """
     half_p, half_u = np.arange(len(positive)) % 2 == 0, np.arange(len(unlabelled)) % 2 == 0
     if half_p.sum() < 20 or half_u.sum() < 20:
         return 0.5
@@ -120,13 +122,13 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     q_p = 1 - np.searchsorted(p, cut, "left") / len(p)
     q_u = 1 - np.searchsorted(u, cut, "left") / len(u)
     best = np.argmin((q_u + margin) / np.maximum(q_p, 1e-9))
-    return float(np.clip(q_u[best] / q_p[best], 0.05, 0.95))
+    share = q_u[best] / q_p[best]
+    return float(np.clip(share - np.sqrt(max(0.0, share * (1 - share)) / len(p)), 0.05, 0.95))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held_out: int = 0) -> Net:
     """Fit on trusted positives and unlabelled texts whose fold is not the held-out one."""
     trainable = fold(id_col, folds) != held_out
-    n, good = labels.filter(trainable & F.col(label_col).isNotNull()).agg(F.count("*"), F.sum((F.col(label_col) == 1).cast("long"))).first()
     positive = first_by_hash(labels.filter((F.col(label_col) == 1) & trainable).select(id_col).distinct(), id_col, POSITIVES).withColumn("p", F.lit(True))
     unlabelled = first_by_hash(docs.filter(trainable).select(id_col), id_col, UNLABELLED).distinct().withColumn("p", F.lit(False))
     chosen = positive.unionByName(unlabelled)
@@ -136,16 +138,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["p", "f"])
 
-    got = texts.mapInArrow(run, "p boolean, f binary").toPandas().sort_values(["p", "f"])  # an order of their own: tasks end in any order
+    got = arrow_map(texts, run, "p boolean, f binary").toPandas().sort_values(["p", "f"])  # an order of their own: tasks end in any order
     x = np.stack([np.frombuffer(f, np.float32) for f in got["f"]]) if len(got) else np.empty((0, N_FEATURES), np.float32)
     p = got["p"].to_numpy(bool)
     if not p.any() or p.all():
         return Net(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros((N_FEATURES, 1)), np.zeros(1), np.zeros(1), 0.0)
     rnd = np.random.default_rng(SEED)
     positive, unlabelled = rnd.permutation(x[p]), rnd.permutation(x[~p])
-    share = good / n
-    prior = share - np.sqrt(share * (1 - share) / n) if good < n else estimate_prior(positive, unlabelled)
-    return fit(positive, unlabelled, float(np.clip(prior, 0.05, 0.95)))
+    return fit(positive, unlabelled, estimate_prior(positive, unlabelled))
 
 
 def _scores(net: Net, texts: pa.Array) -> np.ndarray:
@@ -162,7 +162,7 @@ def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(net, batch.column(1)))], names=["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, score double")
+    return arrow_map(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, f"id {kind}, score double")
 
 
 def keep_good(docs: DataFrame, net: Net, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -173,4 +173,4 @@ def keep_good(docs: DataFrame, net: Net, text_col: str = "text", threshold: floa
             if batch.num_rows:
                 yield batch.filter(pa.array(_scores(net, batch.column(batch.schema.get_field_index(text_col))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_map
+
 #: kind, start, end (code points, end exclusive)
 Span = tuple[str, int, int]
 _TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
@@ -52,7 +54,7 @@ def span_table(docs: DataFrame, find: Callable[[list[str]], list[list[tuple[str,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, _TYPE)], names=["id", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:int,end:int,base:boolean>>")
+    return arrow_map(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, f"id {kind}, spans array<struct<kind:string,start:int,end:int,base:boolean>>")
 
 
 def base_count(kind: str) -> Column:

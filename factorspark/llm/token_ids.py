@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import cut, new_folder
+from .common import arrow_map, cut, new_folder
 
 MAGIC = b"FSTK1\n"
 #: Ids after which a block is closed.
@@ -191,7 +191,7 @@ def write_ids(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "docs": [docs_n], "tokens": [total]})
 
     ranged = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
-    made = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(run, "part int, path string, docs bigint, tokens bigint")
+    made = arrow_map(ranged.withColumn("part", F.spark_partition_id()), run, "part int, path string, docs bigint, tokens bigint")
     manifest = cut(made)  # a row a file; the files of a task that is run again are not named
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("first", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
@@ -228,4 +228,4 @@ def read_ids(manifest: DataFrame, folder: str, id_type: str = "bigint") -> DataF
 
     # A task a file or so: without a stated number of partitions the few rows of the manifest would meet in one.
     files = manifest.repartitionByRange(max(1, manifest.count()), "part").select("path", "first", F.lit(None).cast(id_type).alias("kind"))
-    return files.mapInArrow(run, f"id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return arrow_map(files, run, f"id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
