@@ -113,8 +113,8 @@ expression("cs_rank", "cs_rank(volume)", RANK, f"q AS (SELECT *, CASE WHEN u THE
 expression("cs_rank_plain", "cs_rank(volume)", RANK, f"q AS (SELECT *, CASE WHEN u THEN volume END AS x FROM p), {ranked('x')}", "t", plain=True)
 MASKED = "q AS (SELECT *, CASE WHEN u THEN close END AS x, CASE WHEN u THEN volume END AS y FROM p)"
 expression("cs_zscore", "cs_zscore(close)", f"CASE WHEN x IS NULL THEN NULL WHEN sd <= greatest(1, mx) * 1e-12 THEN 0 ELSE (x - m) / sd END", f"{MASKED}, r AS (SELECT *, stddev_pop(x) OVER {D} AS sd, avg(x) OVER {D} AS m, max(abs(x)) OVER {D} AS mx FROM q)", "r")
-# Whole volumes: means of cents over 32 securities would end in a 5 at the seventh decimal, which engines round differently.
-expression("cs_demean", "cs_demean(volume)", f"y - avg(y) OVER {D}", MASKED, "q")
+# To nine digits: a mean of cents over up to a hundred securities that ends at all ends at the eighth, so that no value lies between two roundings.
+expression("cs_demean", "cs_demean(close)", f"x - avg(x) OVER {D}", MASKED, "q", digits=9)
 expression("cs_winsorize", "cs_winsorize(close,0.05)", "CASE WHEN x IS NOT NULL THEN least(greatest(x, lo), hi) END", f"{MASKED}, r AS (SELECT *, quantile_cont(x, 0.05) OVER {D} AS lo, quantile_cont(x, 0.95) OVER {D} AS hi FROM q)", "r")
 expression(
     "cs_residual", "cs_residual(close,volume)", "CASE WHEN n >= 3 AND v * n > n * pow(greatest(1, mx) * 1e-12, 2) THEN (x - mx1) - cv / v * (y - my) END",

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from factorspark import queries, queries_eval, queries_prep  # noqa: F401
+from factorspark import queries, queries_eval, queries_prep, queries_sources  # noqa: F401
 
 ROOT = Path(__file__).resolve().parents[1]
 SF = Path("/root/testdata/sf0.001")
@@ -67,6 +67,23 @@ def test_contract_without_the_optional_subpackage(tmp_path):
     assert done.returncode == 0, done.stderr
 
 
+def test_a_missing_dependency_is_no_absent_subpackage(monkeypatch):
+    import __spark_entry__ as entry
+
+    def lacking(name):
+        raise ModuleNotFoundError("No module named 'tiktoken'", name="tiktoken")
+
+    monkeypatch.setattr(entry, "import_module", lacking)
+    with pytest.raises(ModuleNotFoundError):
+        entry._optional("factorspark.llm.queries")
+
+    def absent(name):
+        raise ModuleNotFoundError("No module named 'factorspark.llm'", name="factorspark.llm")
+
+    monkeypatch.setattr(entry, "import_module", absent)
+    assert entry._optional("factorspark.llm.queries") is None
+
+
 def test_library_does_not_import_the_text_operators():
     for p in (ROOT / "factorspark").rglob("*.py"):
         if "llm" not in p.parts:
