@@ -13,7 +13,8 @@ is within ``floor((1 - similarity) * words of the item)`` word edits of it.
    of similar size, and a class's samples lie where its shortest item still has words.
 3. Verification. Word-level edit distance of each candidate to the best end of its window, exactly.
 
-Items are small next to documents: they travel to the tasks in blocks of ``ITEMS``, one pass over the texts a block.
+Items are small next to documents: they travel to the tasks in blocks of ``ITEMS``, one pass over the texts a block. A benchmark of k blocks
+costs k passes.
 
 Defined results: null or word-less items and texts match nothing; equal items match separately; repeated rows give
 repeated results; a document and an item give one row, for the passage that agrees with the item in most tables
@@ -30,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import arrow_map
 from .words import hash_words, letters, mix
@@ -298,6 +300,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    item_arrow = to_arrow_type(items.schema[item_id].dataType)  # ids of items may be of any type
     schema = f"id {kind}, item_id {item_kind}, first_word bigint, n_words bigint, edits int"
     out = None
     for block in item_blocks(items, item_id, item_text):
@@ -312,7 +315,6 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
                         ids = batch.column(0).take(pa.array([first + t for t in text]))
                         yield pa.RecordBatch.from_arrays([ids, pa.array([index.names[i] for i in item], item_arrow), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(edits, pa.int32())], names=["id", "item_id", "first_word", "n_words", "edits"])
 
-        item_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
         part = arrow_map(rows, run, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)

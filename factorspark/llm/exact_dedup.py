@@ -84,17 +84,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of ``docs`` that stay, with their own columns.
 
     Losers of frequent groups go in the map task; what is left (no frequent group keeps more than its winner) is
-    dealt by digest once, whole rows with it.
+    dealt by digest once, whole rows with it. Of rows with one id and length whose white space differs, the one whose
+    original text has the least hash stays; of rows that repeat id and text, any one.
     """
     heavy = cut(frequent(digests(docs, id_col, text_col)).select("digest", "top"))
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), F.unhex(F.sha2(normalised(text), 256)).alias("digest"), F.length(text).cast("long").alias("n")
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), F.unhex(F.sha2(normalised(text), 256)).alias("digest"), F.length(text).cast("long").alias("n"), F.xxhash64(text).alias("tie")
     )
     marked = rows.join(F.broadcast(heavy), "digest", "left")
     winner = (F.col("n") == -F.col("top.m")) & F.col("id").eqNullSafe(F.col("top.id"))
-    alone = marked.filter(F.col("top").isNull()).select("row", "digest", "n", "id")
-    # Rows that repeat a winner in every column collapse map-side before they meet.
-    first = marked.filter(F.col("top").isNotNull() & winner).groupBy("digest", "n", "id").agg(F.first("row").alias("row")).select("row", "digest", "n", "id")
-    best = Window.partitionBy("digest").orderBy(F.col("n").desc(), F.col("id").asc_nulls_last())
+    alone = marked.filter(F.col("top").isNull()).select("row", "digest", "n", "id", "tie")
+    # Rows that repeat a winner's id and length collapse map-side before they meet.
+    first = marked.filter(F.col("top").isNotNull() & winner).groupBy("digest", "n", "id").agg(F.min_by("row", "tie").alias("row"), F.min("tie").alias("tie")).select("row", "digest", "n", "id", "tie")
+    best = Window.partitionBy("digest").orderBy(F.col("n").desc(), F.col("id").asc_nulls_last(), "tie")
     return alone.unionByName(first).withColumn("rn", F.row_number().over(best)).filter("rn = 1").select("row.*")

@@ -57,7 +57,7 @@ MARKS = {"article", "main"}
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)|<(?=[a-zA-Z/])[^<]*\Z", re.DOTALL)
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 #: Content and other tokens seen beforehand, in the order (content, other), by feature.
-PRIOR = {"w:p": (400, 8), "w:list": (20, 8), "w:head": (20, 4), "w:link": (8, 16), "w:text": (6, 6), "w:quote": (20, 2), "w:cell": (10, 6), "off": (2, 40)}
+PRIOR = {"w:p": (400, 8), "w:list": (20, 8), "w:head": (60, 4), "w:link": (8, 16), "w:text": (6, 6), "w:quote": (20, 2), "w:cell": (10, 6), "off": (2, 40)} | {f"{end}h{i}": (6, 8) for end in ("", "/") for i in range(1, 7)}
 TAG_PRIOR = (1, 3)
 NAME_PRIOR = {f"c:{n}": c for names, c in ((SURELY_APART, (0.5, 200.0)), (MAYBE_APART, (0.5, 8.5)), (MAYBE_CONTENT, (8.5, 0.5))) for n in names}
 #: Log odds that an element is content for being a paragraph, a heading and the like, and for standing inside a mark.
