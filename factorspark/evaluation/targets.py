@@ -33,7 +33,7 @@ def quantile_band(book: DataFrame, index: int, count: int = 5) -> DataFrame:
 def membership_overlap(selected: DataFrame, dates: DataFrame) -> DataFrame:
     """(date, turnover): one-way turnover between equal-weighted selections of neighbouring dates, 1.0 at the first."""
     sizes = selected.groupBy("date").agg(F.count("*").alias("n"))
-    line = dates.join(F.broadcast(sizes), "date").select("date", "n").withColumns({"before": F.lag("date").over(Window.orderBy("date")), "m": F.lag("n").over(Window.orderBy("date"))})
-    common = selected.join(F.broadcast(line.select("date", "before")), "date").join(selected.select(F.col("date").alias("before"), "code"), ["before", "code"]).groupBy("date").agg(F.count("*").alias("shared"))
+    line = dates.join(sizes, "date").select("date", "n").withColumns({"before": F.lag("date").over(Window.orderBy("date")), "m": F.lag("n").over(Window.orderBy("date"))})
+    common = selected.join(line.select("date", "before"), "date").join(selected.select(F.col("date").alias("before"), "code"), ["before", "code"]).groupBy("date").agg(F.count("*").alias("shared"))
     kept = F.coalesce("shared", F.lit(0)) * F.least(1 / F.col("n"), 1 / F.col("m"))
     return line.join(common, "date", "left").select("date", F.when(F.col("before").isNull(), 1.0).otherwise(1 - kept).alias("turnover"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from ..plans.model import Catalog
+from ..plans.model import Catalog, OperatorSpec
 from . import across, elementwise, pairs, paths, rolling
 
 # Catalog versions, and what each adds to the base operators.
@@ -33,6 +33,11 @@ def catalog(version: str = PRODUCTION) -> Catalog:
     return Catalog(version, (*base, *(s for p in parts for s in _EXTRA.get(p, ()))))
 
 
+def extended(version: str, base: Catalog, *specs: OperatorSpec) -> Catalog:
+    """A catalog with operators of your own beside those of ``base``. Its version is part of the identity of every factor."""
+    return Catalog(version, (*base.specs.values(), *specs))
+
+
 @lru_cache
 def everything() -> Catalog:
     """All operators, with the production rank."""

@@ -78,7 +78,7 @@ def next_open_day(snapshots: DataFrame, calendar: DataFrame) -> DataFrame:
     line = days.select("day", F.lit(True).alias("is_day")).unionByName(snapshots.select(F.col("snapshot_date").alias("day"), F.lit(False).alias("is_day")).distinct())
     later = F.min(F.when(F.col("is_day"), F.col("day"))).over(Window.orderBy(F.unix_date("day")).rangeBetween(1, Window.unboundedFollowing))
     effective = line.withColumn("effective_date", later).filter("not is_day").select(F.col("day").alias("snapshot_date"), "effective_date")
-    return snapshots.join(F.broadcast(effective), "snapshot_date", "left")
+    return snapshots.join(effective, "snapshot_date", "left")
 
 
 def members_at(obs: DataFrame, snapshots: DataFrame, flag: str = "member") -> DataFrame:

@@ -12,6 +12,10 @@ def clean(x: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
+#: Dates of the longest calendar that is sent to the tasks; a longer one is an error.
+LONGEST = 1 << 17
+
+
 def dates_with_position(dates: DataFrame) -> DataFrame:
     """(date, pos): positions from 0 over distinct dates. Dates are a calendar: thousands of rows at any scale of data."""
     return dates.select("date").distinct().withColumn("pos", (F.row_number().over(Window.orderBy("date")) - 1).cast("int"))
@@ -25,7 +29,8 @@ def densify(cells: DataFrame, codes: DataFrame | None = None, dates: DataFrame |
     """
     codes = (codes if codes is not None else cells).select("code").distinct()
     calendar = dates_with_position(dates if dates is not None else cells)
-    grid = codes.join(F.broadcast(calendar))
+    over = F.raise_error(F.lit(f"a calendar of more than {LONGEST} dates")).cast("int")
+    grid = codes.crossJoin(F.broadcast(calendar.withColumn("pos", F.when(F.col("pos") < LONGEST, F.col("pos")).otherwise(over))))
     return grid.join(cells, ["code", "date"], "left")
 
 

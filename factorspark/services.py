@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from pathlib import Path
 from time import perf_counter
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .artifacts import identity, reuse, store
 from .engine import Engine
+from .errors import DataError
 from .evaluation import audits, measure, screen
 from .functions import series
 from .job import Prepared, load_job
@@ -135,7 +137,7 @@ def measure_factor(spark: SparkSession, job: str | Path, expression: str, direct
     return store(folder / "summary.json", own, body) | {"reused": False, "timings_seconds": clock.all()}
 
 
-def _evaluate(p: Prepared, panel: DataFrame, compiled, through: str, work: Path, job_identity: str) -> dict:
+def _evaluate(p: Prepared, panel: DataFrame, compiled, through: str, work: Path, job_identity: str, observe: Callable[[str, dict], None] | None = None) -> dict:
     """Screen, and rolling folds with their gate; each stage stored by identity and reused."""
     book = panel.withColumnRenamed(compiled.factor_id, "score")
     out: dict = {"factor_id": compiled.factor_id, "canonical": compiled.canonical, "reused": []}
@@ -151,17 +153,29 @@ def _evaluate(p: Prepared, panel: DataFrame, compiled, through: str, work: Path,
             out["reused"].append(name)
         out[name] = found or store(path, own, f())
         out[f"{name}_artifact"], upstream = str(path), own
+        if observe is not None:
+            observe(name, out[name])
     return out
 
 
-def evaluate(spark: SparkSession, job: str | Path, expression: str, through: str = "rolling", work_root: str | Path = ".") -> dict:
+def evaluate_candidate(spark: SparkSession, job: str | Path, candidate: dict, through: str = "rolling", work_root: str | Path = ".") -> dict:
+    """``evaluate`` of a recorded candidate (expression, canonical, factor_id), which must still mean what it meant when it was recorded."""
+    now = prepared(spark, job).engine.compile(candidate["expression"])
+    drift = {k: (candidate[k], v) for k, v in (("canonical", now.canonical), ("factor_id", now.factor_id)) if candidate.get(k) not in (None, v)}
+    if drift:
+        raise DataError("; ".join(f"{k} was {old}, is {new}" for k, (old, new) in drift.items()))
+    return evaluate(spark, job, candidate["expression"], through, work_root)
+
+
+def evaluate(spark: SparkSession, job: str | Path, expression: str, through: str = "rolling", work_root: str | Path = ".", observe: Callable[[str, dict], None] | None = None) -> dict:
+    """``observe`` is called with each stage's name and result as soon as it is there."""
     p, clock = prepared(spark, job), Clock()
     own = clock.time("prepare", lambda: p.identity()["job_identity"])
     book, compiled = p.scored(expression)
     book = book.persist()
     try:
         clock.time("factor", book.count)
-        return clock.time("research", lambda: _evaluate(p, book, compiled[0], through, Path(work_root), own)) | {"timings_seconds": clock.all()}
+        return clock.time("research", lambda: _evaluate(p, book, compiled[0], through, Path(work_root), own, observe)) | {"timings_seconds": clock.all()}
     finally:
         book.unpersist()
 

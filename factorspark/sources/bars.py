@@ -21,6 +21,18 @@ def years_between(start: str, end: str) -> list[int]:
     return list(range(int(start[:4]), int(end[:4]) + 1))
 
 
+#: Codes that a filter lists; more of them are joined.
+LISTED = 500
+
+
+def among(rows: DataFrame, column: str, codes: list) -> DataFrame:
+    """The rows whose ``column`` is one of ``codes``: by a filter that reaches the files, or a semi-join where they are many."""
+    if len(codes) <= LISTED:
+        return rows.filter(F.col(column).isin(list(codes)))
+    table = rows.sparkSession.createDataFrame([(c,) for c in codes], f"`{column}` {rows.schema[column].dataType.simpleString()}")
+    return rows.join(table, column, "left_semi")
+
+
 def read_years(spark: SparkSession, root: str, columns: tuple[str, ...], start: str, end: str, codes: list[str] | None = None) -> DataFrame:
     """(code, date, columns) of ``root``/year=YYYY between two dates: partitions and columns pruned, the date filter pushed down.
 
@@ -39,7 +51,7 @@ def read_years(spark: SparkSession, root: str, columns: tuple[str, ...], start:
     literal = (lambda d: F.lit(d.replace("-", ""))) if isinstance(kind, T.StringType) else (lambda d: F.lit(d).cast(kind))
     rows = df.filter(F.col("year").isin(wanted) & (F.col("trade_date") >= literal(start)) & (F.col("trade_date") <= literal(end)))
     if codes is not None:
-        rows = rows.filter(F.col("ts_code").isin(codes))
+        rows = among(rows, "ts_code", codes)
     date = parse_date(F.col("trade_date")) if isinstance(kind, T.StringType) else F.to_date("trade_date")
     return rows.select(F.col("ts_code").alias("code"), date.alias("date"), *columns)
 

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..errors import DataError
 from ..plans.model import Basis, FieldSpec
+from .bars import among
 
 #: Declared types and their Spark types; those that may enter expressions; the decision clock.
 TYPES = {"bool": T.BooleanType(), "float32": T.FloatType(), "float64": T.DoubleType(), "int32": T.IntegerType(), "int64": T.LongType(), "string": T.StringType()}
@@ -89,7 +90,7 @@ def scan(spark: SparkSession, m: Manifest, fields: list[str] | None = None, star
     if end is not None:
         df = df.filter(F.col(date) <= F.lit(end).cast(df.schema[date].dataType))
     if codes is not None:
-        df = df.filter(F.col(code).isin(list(codes)))
+        df = among(df, code, codes)
     return df.select(F.col(code).alias("code"), F.to_date(date).alias("date"), *(fields or [f.name for f in m.fields]))
 
 

@@ -33,8 +33,8 @@ def evaluate_stream(bars: DataFrame, history: Callable[[], DataFrame], engine: E
         first = own.agg(F.min("date")).first()[0]
         before = history().filter(F.col("date") < F.lit(first))
         reach = before.select("date").distinct().orderBy(F.desc("date")).limit(compiled.lookback)  # dates only
-        rows = before.join(F.broadcast(reach), "date", "left_semi").select("code", "date", *fields).unionByName(batch.select("code", "date", *fields))
-        out = plan.results(panel(rows, fields)).join(F.broadcast(own), "date", "left_semi")
+        rows = before.join(reach, "date", "left_semi").select("code", "date", *fields).unionByName(batch.select("code", "date", *fields))
+        out = plan.results(panel(rows, fields)).join(own, "date", "left_semi")
         sink(out.select("code", "date", F.col(compiled.factor_id).alias("value")), number)
 
     return bars.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -74,3 +74,23 @@ def test_batches():
     assert [g.canonical for g in good] == ["close", "neg(close)"] and [b.code for b in bad] == ["UNKNOWN_OPERATOR"]
     with pytest.raises(ValueError, match="same"):
         Engine().compile_many(["add(close,open)", "add(open,close)"])
+
+
+def test_operators_of_your_own(spark):
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    from factorspark.operators.catalogs import catalog, extended
+    from factorspark.plans.model import Kind, OperatorSpec, Phase
+
+    halved = OperatorSpec("halved", "arithmetic", (frozenset({Kind.FLOAT}),), Phase.ROW, lambda ctx, a: a / F.lit(2.0))
+    own = Engine(extended("mine_v1", catalog(), halved))
+    c = own.compile("cs_rank(halved(close))")
+    assert c.canonical == "cs_rank(halved(close))" and c.factor_id != Engine().compile("cs_rank(close)").factor_id
+    rows = [(k, datetime.date(2024, 1, 1), 0, float(k), True) for k in (1, 2, 3)]
+    panel = spark.createDataFrame(rows, "code bigint, date date, pos int, close double, in_universe boolean")
+    halves = own.compile("halved(close)")
+    assert sorted(r[halves.factor_id] for r in own.plan(halves).results(panel).collect()) == [0.5, 1.0, 1.5]
+    with pytest.raises(ValueError):
+        extended("mine_v2", catalog(), halved, halved)
