@@ -14,6 +14,10 @@ bits that are still free, before any task has to hold them.
 
 Links leave a node as a spanning forest (one edge a member at most), never as all pairs.
 
+Nodes of the wide index (below) are not factored again: a task holds the fingerprints, 32 bytes each, of one sampled pattern, which
+for a group of near copies with fingerprints of their own can be as many as the group has members. Texts and their shingle sets are never
+held that way: they are verified in parts of bounded size.
+
 Defined results: null text counts as empty; a text without words has fingerprint zero and links like any other; fewer
 words than a shingle make one shingle; repeated rows share a fingerprint; null ids never name a component (it is null
 only if every id in it is null); an empty table gives an empty result.
@@ -31,8 +35,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, raw
-from .components import components
+from .common import arrow_map, cut, map_batches, raw
+from .components import components, join_labels
 from .words import mix
 
 #: Members above which a node is factored again before it is searched.
@@ -45,6 +49,8 @@ SHARED = 1024
 LEAF, GROUP = 64, 32
 #: Nodes up to this size are compared member by member.
 FLAT = 512
+#: Pairs that are compared at a time.
+STEP_PAIRS = 1 << 16
 ALL = (1 << 64) - 1
 
 
@@ -104,23 +110,6 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Give both ends of each link the least label, in place, with all that already share a label."""
-    while len(a):
-        x, y = label[a], label[b]
-        keep = x != y
-        a, b, x, y = a[keep], b[keep], x[keep], y[keep]
-        if not len(a):
-            return
-        hi, lo = np.maximum(x, y), np.minimum(x, y)
-        np.minimum.at(label, hi, lo)
-        while True:  # labels point at labels: jump to the roots
-            up = label[label]
-            if np.array_equal(up, label):
-                break
-            label[:] = up
-
-
 def _shared(x: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     """For every ``step`` neighbours, the bits that all have and the bits that any has: they share what is equal in both."""
     at = np.arange(0, len(x), step)
@@ -154,7 +143,7 @@ def _search(x: np.ndarray, label: np.ndarray, bits: int) -> None:
                 if la[0] == lb[0] and (la == la[0]).all() and (lb == lb[0]).all():
                     continue  # all in one component already
                 r, s = np.nonzero(_apart(x[a][:, None], x[b][None]) <= bits)
-                _merge(label, r + a.start, s + b.start)
+                join_labels(label, r + a.start, s + b.start)
 
 
 def link(node: np.ndarray, x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,16 +154,17 @@ def link(node: np.ndarray, x: np.ndarray, bits: int) -> tuple[np.ndarray, np.nda
     label = np.arange(n)
     room = np.repeat(start + size, size) - np.arange(n)  # members from here to the node's end
     room[np.repeat(size > FLAT, size)] = 0
-    a, b, at = [], [], np.flatnonzero(room > 1)
+    at = np.flatnonzero(room > 1)
     for d in range(1, int(room.max(initial=0))):
         at = at[room[at] > d]
         if not len(at):
             break
-        hit = at[_apart(x[at], x[at + d]) <= bits]
-        a.append(hit)
-        b.append(hit + d)
-    if a:
-        _merge(label, np.concatenate(a), np.concatenate(b))
+        open_ = at[label[at] != label[at + d]]  # what is connected already needs no comparison, and its pairs are never held
+        for k in range(0, len(open_), STEP_PAIRS):
+            some = open_[k : k + STEP_PAIRS]
+            hit = some[_apart(x[some], x[some + d]) <= bits]
+            if len(hit):
+                join_labels(label, hit, hit + d)
     for s, k in zip(start[size > FLAT].tolist(), size[size > FLAT].tolist(), strict=True):
         own = np.arange(k)
         _search(x[s : s + k], own, bits)
@@ -225,7 +215,7 @@ def _edges(nodes: DataFrame, bits: int, order: Column) -> DataFrame:
             yield flush(held)
 
     dealt = nodes.repartition("mask", "pattern").select("mask", "pattern", "fp", order.alias("g"))
-    return dealt.sortWithinPartitions("mask", "pattern", "g").select("mask", "pattern", "fp").mapInArrow(run, f"u {kind}, v {kind}")
+    return arrow_map(dealt.sortWithinPartitions("mask", "pattern", "g").select("mask", "pattern", "fp"), run, f"u {kind}, v {kind}")
 
 
 def links(fps: DataFrame, bits: int = 4) -> DataFrame:
@@ -254,12 +244,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     return _named(table, lambda fps: links(fps, bits))
 
 
-def _named(table: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, fp, component_id) from (id, fp, ...) and the links between distinct fingerprints."""
-    extra = [F.first(c).alias(c) for c in table.columns if c not in ("id", "fp")]
+def _named(table: DataFrame, linked: Callable[[DataFrame], DataFrame], *keep: str) -> DataFrame:
+    """(id, fp, component_id, columns of ``keep``) from (id, fp, ...) and the links between distinct fingerprints."""
+    extra = [F.first(c).alias(c) for c in table.columns if c not in ("id", "fp", *keep)]
     fps = cut(table.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"), *extra))
     roots = components(linked(fps))
-    fps, table = fps.select("fp", "least", "n"), table.select("id", "fp")
+    fps, table = fps.select("fp", "least", "n"), table.select("id", "fp", *keep)
     # Only fingerprints that met another one need a component; the rest are alone with their own documents. A component's
     # fingerprints are many rows of one key where a group is large, so they are salted on the way back.
     met = fps.drop("n").join(roots.withColumnRenamed("node", "fp"), "fp")
@@ -271,8 +261,8 @@ def _named(table: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFr
     # Fingerprints of more than 1/SHARED of the documents, at most SHARED of them, find their documents where those are read.
     total = fps.agg(F.sum("n")).first()[0] or 0
     common = F.broadcast(by_fp.filter(F.col("n") * SHARED >= total).select("fp", "component_id"))
-    settled = table.join(common, "fp").select("id", "fp", "component_id")
-    rest = table.join(common, "fp", "left_anti").join(by_fp.filter(F.col("n") * SHARED < total), "fp").select("id", "fp", "component_id")
+    settled = table.join(common, "fp").select("id", "fp", "component_id", *keep)
+    rest = table.join(common, "fp", "left_anti").join(by_fp.filter(F.col("n") * SHARED < total), "fp").select("id", "fp", "component_id", *keep)
     return settled.unionByName(rest)
 
 
@@ -441,7 +431,7 @@ def verified(table: DataFrame, fps: DataFrame, found: DataFrame, similarity: flo
     dealt = sets.select("root", "fp", "set", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     dealt = dealt.select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "fp", "set")
     # Two parts meet in their own group, where their inner pairs are left out: a part's inner pairs are those of (part, part).
-    return dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "u binary, v binary")
+    return arrow_map(dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j"), run, "u binary, v binary")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -452,6 +442,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     probability RECALL, closer pairs almost surely. Differing bits only find candidates; links are pairs whose sets of
     shingles have this Jaccard similarity exactly. Texts without words are equal to each other and to no other.
     """
+    return _similar(docs, id_col, text_col, words, similarity).drop("mark")
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """``similar_groups`` with a hash of each row's text (mark), which tells rows of one id apart."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -461,11 +456,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.binary()), w, batch.column(1)], names=["id", "fp", "w", "text"])
 
     table = map_batches(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, f"id {kind}, fp binary, w array<bigint>, text string")
-    table = cut(table.withColumn("at", F.monotonically_increasing_id()))
-    return _named(table.drop("text"), lambda fps: verified(table, fps, wide_links(fps, similarity), similarity, words))
+    table = cut(table.withColumns({"at": F.monotonically_increasing_id(), "mark": F.xxhash64("text")}))
+    return _named(table.drop("text"), lambda fps: verified(table, fps, wide_links(fps, similarity), similarity, words), "mark")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without the rows whose group of similar texts has a smaller id; rows without an id stay."""
-    gone = similar_groups(docs, id_col, text_col, words, similarity).filter("id <> component_id").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose group of similar texts has a smaller id; rows without an id stay.
+
+    Rows that share an id are judged each by its own text; those that repeat id and text stay or go together.
+    """
+    gone = _similar(docs, id_col, text_col, words, similarity).filter("id <> component_id").select(F.col("id").alias("_gone"), "mark").distinct()
+    return docs.join(gone, (docs[id_col] == gone["_gone"]) & (F.xxhash64(docs[text_col]) == gone["mark"]), "left_anti").select(*[docs[c] for c in docs.columns])

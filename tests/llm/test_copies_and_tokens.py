@@ -145,11 +145,29 @@ def test_masks_lose_no_pair():
             assert any(x & m == y & m for m in under)
 
 
-def test_long_chains_settle(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "u bigint, v bigint")
+@pytest.mark.parametrize("share", [1 << 19, 100, 7])
+def test_long_chains_settle(spark, monkeypatch, share):
+    monkeypatch.setattr(components, "SHARE", share)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "u bigint, v bigint").repartition(5)
     assert {(r["node"], r["root"]) for r in components.components(edges).collect()} == {(i, 0) for i in range(1, 301)}
 
 
+@pytest.mark.parametrize("share", [1 << 19, 40])
+def test_components_against_brute_force(spark, monkeypatch, share):
+    monkeypatch.setattr(components, "SHARE", share)
+    rnd = random.Random(7)
+    name = [bytes([rnd.randrange(256) for _ in range(3)]) for _ in range(150)]
+    pairs = [(rnd.randrange(150), rnd.randrange(150)) for _ in range(90)] + [(5, 5)]
+    root = list(range(150))
+    for _ in range(150):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b], key=name.__getitem__)
+    df = spark.createDataFrame([(name[a], name[b]) for a, b in pairs], "u binary, v binary").repartition(4)
+    got = {bytes(r["node"]): bytes(r["root"]) for r in components.components(df).collect()}
+    assert got == {name[i]: name[r] for i, r in enumerate(root) if name[i] != name[r]}
+    assert components.components(df.limit(0)).collect() == []
+
+
 @pytest.mark.parametrize("rows", [ODD, big(5, 200), []])
 def test_token_id_files(spark, tmp_path, rows):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -285,6 +303,17 @@ def test_similar_texts_are_grouped_and_others_left_alone(spark):
     assert simhash.similar_groups(frame(spark, [])).collect() == []
 
 
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    rnd = random.Random(3)
+    own = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    text = own(200)
+    rows = [(1, " ".join(text)), (2, " ".join([*text[:-1], "else"])), (2, " ".join(own(100))), (2, " ".join(own(90)))]
+    kept = {(r["doc_id"], r["text"]) for r in simhash.keep_one(frame(spark, rows)).collect()}
+    assert kept == {rows[0], rows[2], rows[3]}
+    spaced = [(5, "a b"), (5, "ab "), (5, "ab "), (5, "\tab")] * 3
+    assert len({r["text"] for k in (1, 3, 7) for r in exact_dedup.keep_one(frame(spark, spaced, k)).collect()}) == 1
+
+
 def test_a_repeated_line_does_not_make_texts_similar(spark):
     rnd = random.Random(4)
     own = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
