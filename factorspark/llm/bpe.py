@@ -1,16 +1,16 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Texts are cut into words at white space (the pre-tokenizer never matches across it). Documents are taken in blocks of up to
-``BLOCK_BYTES`` of text. A block lists its distinct words once, sorted, and keeps each document as positions in that list. The lists are
-dealt by a hash of the word: all blocks' mentions of a word meet in one bucket of the distinct-word table, where it is
-encoded once. The ids go back to the blocks in the order of their lists, and a document's are read off by position; each
+``BLOCK_BYTES`` of text. A block lists its distinct words once, in the order of their hashes, and keeps each document as positions in that
+list. The lists are dealt by that hash: all blocks' mentions of a word meet in one bucket of the distinct-word table, where it is
+encoded once. A bucket's lists stream past a bounded memory of its words, so that no task holds a bucket. The ids go back to the blocks in the order of their lists, and a document's are read off by position; each
 id is joined to its piece of the vocabulary (a table of fixed size) to decode.
 
 Word lists and ids travel as one compressed array for each block and bucket, not as a row a word, because most distinct
 words of a large corpus are rare and a row each would outweigh the texts.
 
-A block that gets fewer ids than it has words (which one recomputed from an unstable input could) stops the job rather than
-give a wrong answer.
+Lists carry a checksum of their words: a block that gets the ids of other words than its own (which one recomputed from an
+unstable input could) stops the job rather than give a wrong answer.
 
 Defined results: a null text counts as empty, and an empty text has no ids and decodes to the empty string; repeated rows
 give repeated rows; extra columns are not read; an empty table gives an empty result.
@@ -24,8 +24,9 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import chain
+from operator import xor
 from pathlib import Path
 
 import numpy as np
@@ -35,10 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from . import common  # noqa: F401  workers give memory back
+from . import common as shared_plumbing
 from .token_ids import pack, unpack
 from .words import hash_words, letters
 
+#: Words, and their bytes, that the memo of a bucket holds before it starts anew.
+REMEMBERED, LETTERS = 1_000_000, 1 << 25
 #: White space as the pre-tokenizer's pattern has it.
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _LETTERS = letters(np.array([chr(b) not in "\t\n\v\f\r " for b in range(256)]))
@@ -85,6 +88,12 @@ class Block:
                 return False
         return True
 
+    def dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(words in the order of the lists: by bucket, then by hash; the buckets that have some; where each begins)."""
+        own = (self.keys % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(own, kind="stable")
+        return order, *np.unique(own[order], return_index=True)
+
     def words(self, which: np.ndarray) -> list[bytes]:
         raw = self._raw.tobytes()
         a, b = self._span
@@ -92,24 +101,43 @@ class Block:
 
 
 #: Text of a block, in bytes; a longer text is a block of its own.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """(number, rows) of the blocks of a partition: the number is the partition's and the block's place there."""
-    k = 0
+    """(number, rows) of the blocks of a partition: the number is the partition's and the block's place there.
+
+    Blocks depend on the rows and their order alone, not on the batches in which they come.
+    """
+    held: list[pa.RecordBatch] = []
+    room, k = BLOCK_BYTES, 0
+
+    def close() -> tuple[int, pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        held.clear()
+        return (rows.column(2)[0].as_py() << 32) + k, rows
+
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         first = 0
         while first < batch.num_rows:
-            before = size[first - 1] if first else 0
-            last = max(first + 1, int(np.searchsorted(size, before + BLOCK_BYTES, "right")))
-            yield (batch.column(2)[0].as_py() << 32) + k, batch.slice(first, last - first)
-            first, k = last, k + 1
+            before = int(size[first - 1]) if first else 0
+            last = int(np.searchsorted(size, before + room, "right"))
+            if last == first and not held:
+                last = first + 1
+            if last > first:
+                held.append(batch.slice(first, last - first))
+                room -= int(size[last - 1]) - before
+                first = last
+            if first < batch.num_rows:  # the next row does not fit
+                yield close()
+                room, k = BLOCK_BYTES, k + 1
+    if held:
+        yield close()
 
 
 def _lists(rows: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, block, words): each block's sorted distinct words of each bucket."""
+    """(bucket, block, mark, words): each block's distinct words of each bucket, in the order of their hashes, which the mark sums up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in _cut(batches):
@@ -117,38 +145,72 @@ def _lists(rows: DataFrame, buckets: int) -> DataFrame:
                 block = Block(batch.column(1).to_pylist())
                 if not len(block.keys):
                     continue  # no words: the block asks for nothing
-                own = (block.keys % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(own, kind="stable")
-                listed = block.words(order)
-                found, first = np.unique(own[order], return_index=True)
-                parts = [_zip(b"\n".join(sorted(listed[i:j]))) for i, j in zip(first.tolist(), [*first[1:].tolist(), len(listed)], strict=True)]
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(found, pa.int32()), "block": pa.array([number] * len(found), pa.int64()), "words": pa.array(parts, pa.binary())})
-
-    return rows.mapInArrow(run, "bucket int, block bigint, words binary")
+                order, found, first = block.dealt(buckets)
+                listed, ends = block.words(order), [*first[1:].tolist(), len(order)]
+                parts = [_zip(b"\n".join(listed[i:j])) for i, j in zip(first.tolist(), ends, strict=True)]
+                sums = np.bitwise_xor.reduceat(block.keys[order], first).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(found, pa.int32()), "block": pa.array([number] * len(found), pa.int64()), "mark": pa.array(sums), "words": pa.array(parts, pa.binary())})
+
+    return shared_plumbing.arrow_map(rows, run, "bucket int, block bigint, mark bigint, words binary")
+
+
+class Memo:
+    """Ids of the words of a bucket, each encoded once; within ``REMEMBERED`` words and ``LETTERS`` bytes, beyond which it starts anew."""
+
+    def __init__(self, model: str):
+        self.model = model
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[bytes, int] = {}
+        self.letters = 0
+        self.long, self.begin, self.ids = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+        self.total = 0
+
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, all ids one after another)"""
+        if len(self.at) > REMEMBERED or self.letters > LETTERS:
+            self.forget()
+        new = [w for w in words if w not in self.at]
+        if new:
+            long, ids = encode_words([w.decode() for w in new], self.model)
+            self.begin.append(self.total + np.cumsum(long) - long)
+            self.long.append(long)
+            self.ids.append(ids)
+            self.total += len(ids)
+            self.letters += sum(map(len, new))
+            for w in new:
+                self.at[w] = len(self.at)
+        where = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        for kept in (self.long, self.begin, self.ids):
+            if len(kept) > 1:
+                kept[:] = [np.concatenate(kept)]
+        long = self.long[0][where]
+        end = np.cumsum(long)
+        return long, self.ids[0][np.repeat(self.begin[0][where] - end + long, long) + np.arange(int(end[-1]) if len(end) else 0)]
 
 
 def _coded(lists: DataFrame, model_path: str) -> DataFrame:
-    """(block, bucket, sizes, ids): the ids of each list's words. Each distinct word is encoded once, in its bucket."""
+    """(block, bucket, n, mark, sizes, ids): the ids of each list's words. The lists of a bucket come one after another to its memo."""
     shared = lists.sparkSession.sparkContext.broadcast(Path(model_path).read_text(encoding="utf-8"))  # as large as the vocabulary
 
-    def run(table: pa.Table) -> pa.Table:
-        own = [zlib.decompress(w).split(b"\n") for w in table.column("words").to_pylist()]
-        at: dict[bytes, int] = {}
-        for listed in own:
-            for w in listed:
-                at.setdefault(w, len(at))
-        long, ids = encode_words([w.decode() for w in at], shared.value)
-        begin = np.cumsum(long) - long
-        sizes, out = [], []
-        for listed in own:
-            where = np.fromiter(map(at.__getitem__, listed), np.int64, len(listed))
-            k = long[where]
-            end = np.cumsum(k)
-            sizes.append(_zip(k.astype(np.uint16 if k.max(initial=0) < 1 << 16 else np.uint32).tobytes()))
-            out.append(_zip(ids[np.repeat(begin[where] - end + k, k) + np.arange(int(end[-1]))].tobytes()))
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "n": pa.array([len(x) for x in own], pa.int32()), "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(out, pa.binary())})
-
-    return lists.groupBy("bucket").applyInArrow(run, "block bigint, bucket int, n int, sizes binary, ids binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, open_bucket = Memo(shared.value), None
+        for batch in batches:
+            for bucket, block, mark, packed in zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3), strict=True):
+                if bucket != open_bucket:
+                    memo.forget()
+                    open_bucket = bucket
+                words = zlib.decompress(packed.as_buffer()).split(b"\n")
+                long, ids = memo.look_up(words)
+                sizes = _zip(long.astype(np.uint16 if long.max(initial=0) < 1 << 16 else np.uint32).tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([len(words)], pa.int32()), pa.array([mark], pa.int64()), pa.array([sizes], pa.binary()), pa.array([_zip(ids.tobytes())], pa.binary())],
+                    names=["block", "bucket", "n", "mark", "sizes", "ids"],
+                )
+
+    dealt = lists.repartition("bucket").sortWithinPartitions("bucket", "block")
+    return shared_plumbing.arrow_map(dealt, run, "block bigint, bucket int, n int, mark bigint, sizes binary, ids binary")
 
 
 @lru_cache(2)
@@ -185,10 +247,7 @@ def _assemble(docs: DataFrame, model_path: str, id_col: str, text_col: str, dige
             if batch.num_rows:
                 block = Block(batch.column(1).to_pylist())
                 n = len(block.keys)
-                # The words in the order of the lists: by bucket, then by bytes.
-                own = (block.keys % np.uint64(buckets)).astype(np.int32)
-                spelled = block.words(np.arange(n))
-                listed = np.array(sorted(range(n), key=lambda i: (own[i], spelled[i])), np.int64)
+                listed, _, _ = block.dealt(buckets)
                 place = np.empty(n, np.uint32)
                 place[listed] = np.arange(n, dtype=np.uint32)
                 common = np.argsort(-np.bincount(block.where, minlength=n), kind="stable")  # frequent words get small numbers
@@ -199,28 +258,29 @@ def _assemble(docs: DataFrame, model_path: str, id_col: str, text_col: str, dige
                     [
                         pa.array([number], pa.int64()),
                         pa.array([n], pa.int32()),
+                        pa.array(np.bitwise_xor.reduce(block.keys, keepdims=True).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0)),
                         pa.array([_zip(block.counts.tobytes())], pa.binary()),
                         pa.array([_zip(place[common].tobytes())], pa.binary()),
                         pa.array([control], pa.binary()),
                         pa.array([data], pa.binary()),
                     ],
-                    names=["block", "n_words", "names", "counts", "common", "control", "data"],
+                    names=["block", "n_words", "mark", "names", "counts", "common", "control", "data"],
                 )
 
-    left = rows.mapInArrow(positions, f"block bigint, n_words int, names array<{kind}>, counts binary, common binary, control binary, data binary")
+    left = shared_plumbing.arrow_map(rows, positions, f"block bigint, n_words int, mark bigint, names array<{kind}>, counts binary, common binary, control binary, data binary")
     out_type = pa.string() if digests else pa.list_(pa.int32())
 
     def run(own: pa.Table, coded: pa.Table) -> pa.Table:
         parts = []
-        for row in own.select(["n_words", "counts", "common", "control", "data"]).to_pylist():
+        for row in own.select(["n_words", "mark", "counts", "common", "control", "data"]).to_pylist():
             n = row["n_words"]
             counts = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
             common = np.frombuffer(zlib.decompress(row["common"]), np.uint32)
             where = common[unpack(row["control"], row["data"], int(counts.sum()))] if n else np.empty(0, np.uint32)
-            got = sorted(coded.select(["bucket", "n", "sizes", "ids"]).to_pylist(), key=lambda r: r["bucket"])
-            if sum(r["n"] for r in got) != n:
-                raise RuntimeError("a block has words without ids: its input changed between reads")
+            got = sorted(coded.select(["bucket", "n", "mark", "sizes", "ids"]).to_pylist(), key=lambda r: r["bucket"])
+            if sum(r["n"] for r in got) != n or reduce(xor, (r["mark"] for r in got), 0) != row["mark"]:
+                raise RuntimeError("a block's words and ids are not of the same words: its input changed between reads")
             sizes = [np.frombuffer(raw := zlib.decompress(r["sizes"]), np.uint16 if len(raw) == 2 * r["n"] else np.uint32) for r in got]
             long = np.concatenate([np.empty(0, np.int64), *sizes])
             flat = np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(zlib.decompress(r["ids"]), np.uint32) for r in got)])
