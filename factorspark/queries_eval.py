@@ -292,11 +292,14 @@ def portfolio_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("portfolio_events", f"""{_walked(_scenarios()[:1])} SELECT dy.date, CASE WHEN stuck OR unfilled > 0 THEN 'partial_fill' WHEN filled = 0 THEN 'cash' WHEN buys + sells <= 1e-15 THEN 'retained' ELSE 'filled' END AS status,
- round(buys, 8) + 0.0 AS buy_notional, round(sells, 8) + 0.0 AS sell_notional, CAST(unfilled AS INTEGER) AS cash_slots FROM wk JOIN dy ON dy.pos = wk.pos WHERE due""")
+ round((buys + sells) / opening, 8) + 0.0 AS turnover, round(CASE WHEN buys + sells > 0 THEN buys / (buys + sells) END, 8) + 0.0 AS bought, CAST(unfilled AS INTEGER) AS cash_slots FROM wk JOIN dy ON dy.pos = wk.pos WHERE due""")
 def portfolio_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each rebalancing: what became of it, its share of the wealth, the part of that which was bought, and targets not got."""
     got = run(t.book(spark, sf_dir), [replace(_scenarios()[0], events=True)]).filter("kind = 'event'")
     field = lambda n: F.get_json_object("payload", f"$.{n}")
-    return _rounded(got.select("date", field("status").alias("status"), field("buy_notional").cast("double").alias("buy_notional"), field("sell_notional").cast("double").alias("sell_notional"), field("cash_slots").cast("int").alias("cash_slots")))
+    buy, sell = (field(f"{side}_notional").cast("double") for side in ("buy", "sell"))
+    bought = buy / F.when(buy + sell > 0, buy + sell)
+    return _rounded(got.select("date", field("status").alias("status"), field("actual_turnover").cast("double").alias("turnover"), bought.alias("bought"), field("cash_slots").cast("int").alias("cash_slots")))
 
 
 @register("portfolio_staggered", f"""{_walked([s for s in _scenarios() if s.name in ("plain", "all")])} SELECT a.name AS scenario, a.date, round(a.net, 8) + 0.0 AS strategy, round(o.net, 8) + 0.0 AS benchmark, round((1 + a.net) / (1 + o.net) - 1, 8) + 0.0 AS excess
@@ -360,10 +363,10 @@ fo AS (SELECT y AS place, CASE WHEN lag(sh) OVER (ORDER BY y) >= 0 THEN 'high' E
 
 
 @register("rolling_gate", f"""{HEAD}, {TRACE}, {_YEARLY}, ep AS (SELECT e, count(*) AS n FROM (SELECT test, row_number() OVER (ORDER BY place) - row_number() OVER (PARTITION BY test > 0 ORDER BY place) AS e FROM fo) WHERE test > 0 GROUP BY 1),
-gt AS (SELECT count(*) AS folds, count(*) FILTER (test > 0) AS positive_folds, median(test) AS m, median(train) AS tr, product(1 + growth) - 1 AS c, (SELECT max(n) FROM (SELECT count(*) AS n FROM fo GROUP BY direction)) AS direction_mode_count,
+gt AS (SELECT count(*) AS folds, count(*) FILTER (test > 0) AS positive_folds, median(test) AS m, median(train) AS tr, max(growth) FILTER (growth > 0) / sum(growth) FILTER (growth > 0) AS c, (SELECT max(n) FROM (SELECT count(*) AS n FROM fo GROUP BY direction)) AS direction_mode_count,
  (SELECT max(n) FROM (SELECT count(*) AS n FROM fo GROUP BY horizon)) AS horizon_mode_count, (SELECT count(*) FROM ep) AS episodes, (SELECT coalesce(max(n), 0) FROM ep) AS streak FROM fo)
 SELECT CASE WHEN folds <> 6 THEN 'invalid_evidence' WHEN positive_folds < 3 OR m <= 0 OR direction_mode_count < 3 OR horizon_mode_count < 3 THEN 'rejected_rolling' ELSE 'rolling_survivor' END AS status, positive_folds, round(m, 6) + 0.0 AS median_test, round(tr, 6) + 0.0 AS median_train,
- direction_mode_count, horizon_mode_count, episodes, streak, round(c, 6) + 0.0 AS compounded FROM gt""")
+ direction_mode_count, horizon_mode_count, episodes, streak, round(c, 6) + 0.0 AS largest_share FROM gt""")
 def rolling_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate over folds of a year: the factor's return a year after the one that gave its direction."""
     daily = measure.trace(t.book(spark, sf_dir), "high").filter("factor_return IS NOT NULL").select(F.year("signal_date").alias("place"), "factor_return")
@@ -372,7 +375,7 @@ def rolling_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = folds.select("place", F.col("place").cast("string").alias("label"), F.when(F.col("train") >= 0, "high").otherwise("low").alias("direction"), (1 + F.col("place") % 2).alias("horizon"), "train", "test", "growth")
     got = screen.gate_report(rows, screen.Gate(required_folds=6))
     return _rounded(got.select("status", "positive_folds", F.col("median_test_excess_sharpe").alias("median_test"), F.col("median_train_excess_sharpe").alias("median_train"), "direction_mode_count", "horizon_mode_count",
-                               F.col("positive_sharpe_episode_count").alias("episodes"), F.col("maximum_positive_sharpe_streak").alias("streak"), F.col("compounded_oos_excess_total_return").alias("compounded")), 6)
+                               F.col("positive_sharpe_episode_count").alias("episodes"), F.col("maximum_positive_sharpe_streak").alias("streak"), F.col("largest_positive_fold_return_share").alias("largest_share")), 6)
 
 
 _FACTORS = {"a": "cs_rank(close)", "b": "neg(cs_rank(close))", "c": "cs_zscore(volume)", "d": "cs_rank(ts_pct_change(close,3))"}

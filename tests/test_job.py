@@ -112,6 +112,18 @@ def test_evaluation_single_and_batch(spark, demo, tmp_path):
         services.evaluate_candidate(spark, demo / "job.yaml", recorded | {"factor_id": "f_0"}, "screen", tmp_path / "one")
 
 
+def test_one_read_of_the_bars(spark, demo, tmp_path, monkeypatch):
+    """Screen, folds, gate and rank IC share one scan of the bars, and what it gave is kept while they run."""
+    from factorspark import job as jobs
+
+    scans, kept = [], []
+    plain = jobs.source.bars
+    monkeypatch.setattr(jobs.source, "bars", lambda *a, **k: scans.append(a[1]) or plain(*a, **k))
+    heard = lambda stage, result: kept.append((stage, spark.sparkContext._jsc.getPersistentRDDs().size()))
+    services.evaluate(spark, demo / "job.yaml", "neg(ts_pct_change(close,3))", "rolling", tmp_path, observe=heard)
+    assert len(scans) == 1 and [s for s, _ in kept] == ["screen", "rolling"] and all(n >= 1 for _, n in kept)
+
+
 def command(*argv):
     out = io.StringIO()
     with redirect_stdout(out):
