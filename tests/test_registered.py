@@ -44,6 +44,30 @@ def test_query(spark, duck, name):
             assert u == v or (isinstance(u, float) and isinstance(v, float) and abs(u - v) <= 2e-5 * max(1, abs(u))), (x, y)
 
 
+@pytest.mark.parametrize(
+    ("thin", "end"),
+    [
+        ("year(l_shipdate) = 1995", "2002-01-01"),  # a first year of zeros: a fold whose training ratio is NaN
+        ("year(l_shipdate) = 1998", "2002-01-01"),  # a test of NaN
+        ("year(l_shipdate) = 1995", "2001-04-01"),  # and a last year of one return: an infinite ratio
+        ("false", "1996-04-01"),  # a single fold
+        ("true", "2002-01-01"),  # nothing but zeros
+        ("false", "1995-02-01"),  # no return at all
+    ],
+)
+def test_rolling_gate_keeps_years_without_spread(spark, tmp_path, thin, end):
+    """Suppliers that sell little are not in the universe: the book is empty then, and its return zero."""
+    c = duckdb.connect()
+    for name, path in (("lineitem", SF / "lineitem.parquet"), ("supplier", SF / "supplier.parquet")):
+        c.sql(f"CREATE VIEW {name}0 AS SELECT * FROM '{path}'")
+    c.sql(f"CREATE TABLE lineitem AS SELECT * REPLACE (CASE WHEN {thin} THEN 1 ELSE l_quantity END AS l_quantity) FROM lineitem0 WHERE l_shipdate < DATE '{end}'")
+    c.sql("CREATE TABLE supplier AS SELECT * FROM supplier0")
+    for name in ("lineitem", "supplier"):
+        c.sql(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    got, want = queries.QUERIES["rolling_gate"](spark, str(tmp_path)).toPandas(), c.sql(queries.SQL["rolling_gate"]).df()
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
 def test_query_without_sql_runs(spark, name):
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
